@@ -21,6 +21,8 @@ from bytesift.llm.common import WORD, cut, free_name, with_row_id
 BLOCK_ROWS = 4096
 #: Sources up to which the table of targets, a few dozen bytes a source, is broadcast; beyond, it is joined.
 BROADCAST_SOURCES = 50_000
+#: Rows of a source's last block that skip the flight, so that the landing has ways enough to come near the target.
+LANDING_ROWS = 12
 EPS = 1e-9
 
 
@@ -90,10 +92,11 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
 def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The landing: of all ways to close the few open units, the one nearest to their tokens, then to their number."""
     i = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+    p = p.copy()
     ways = (np.arange(2 ** len(i))[:, None] >> np.arange(len(i))) & 1
     off = np.abs(ways @ size[i] - p[i] @ size[i])
-    best = np.lexsort((np.abs(ways.sum(1) - p[i].sum()), off))[0]
-    return np.put_along_axis(q := p.copy(), i, ways[best].astype(float), 0) or q
+    p[i] = ways[np.lexsort((np.abs(ways.sum(1) - p[i].sum()), off))[0]]
+    return p
 
 
 def _fly(level: int, seed: int):
@@ -101,10 +104,11 @@ def _fly(level: int, seed: int):
         group = group.sort_values(["order", "size"], kind="stable")
         p, size = group["p"].to_numpy(float), group["size"].to_numpy(float)
         rng = np.random.default_rng([seed, level, int(group["k"].iloc[0]), int(group["block"].iloc[0])])
-        p = flight(p, size, rng)
-        if group["blocks"].iloc[0] == 1:
-            p = land(p, size)
-        return group.assign(p=p)
+        last = group["blocks"].iloc[0] == 1
+        aside = np.flatnonzero((p > EPS) & (p < 1 - EPS))[-LANDING_ROWS:] if last else []
+        kept = np.delete(np.arange(len(p)), aside)
+        p[kept] = flight(p[kept], size[kept], rng)
+        return group.assign(p=land(p, size) if last else p)
 
     return fly
 
@@ -116,7 +120,6 @@ def mix(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 0, **shares)
     floor of the source's ratio or one more. A null source is a source of its own. Sources without words get
     target 0 and no copies. Equal rows are drawn each for itself. No rows give no rows.
     """
-    spark = rows.sparkSession
     targets = cut(source_targets(rows, **shares))
     n = targets.count()
     table = F.broadcast(targets) if n <= BROADCAST_SOURCES else targets
@@ -137,7 +140,6 @@ def mix(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 0, **shares)
         # At most two rows of a block stay open, so the next level has so many blocks at most.
         most = -(-2 * most // block_rows)
         state = flown.filter(open_).drop("block").withColumn("blocks", F.ceil(2 * F.col("blocks") / block_rows).cast("long"))
-    del spark
     out = reduce(DataFrame.unionByName, done)
     return out.select("key", "source", "size", "source_size", "target", (F.col("base") + F.round("p").cast("int")).alias("copies"))
 
