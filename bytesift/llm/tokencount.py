@@ -60,7 +60,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
         rows = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
         return rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
-    misses = texts.select("content", "text").join(known().select("content"), "content", "left_anti").groupBy("content").agg(F.first("text").alias("text"))
+    misses = texts.groupBy("content").agg(F.first("text").alias("text")).join(known().select("content"), "content", "left_anti")
     counted = misses.mapInPandas(_encode(tokenizer_path), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     # No aggregation stands between the cache and the join, so a digest that many rows share can be split there.
