@@ -7,9 +7,21 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bytesift.functions.bloom import grams_of
-from bytesift.functions.headers import META_DDL, entropy, header_fields
+from bytesift.functions.fields import BOOLEANS, INTEGERS, column_name
+from bytesift.functions.headers import entropy, header_fields
+
+#: The struct of header fields as a type; a type needs no session.
+META_TYPE = T.StructType(
+    [
+        *(T.StructField(column_name(f), T.BooleanType()) for f in BOOLEANS),
+        *(T.StructField(column_name(f), T.ArrayType(T.LongType())) for f in INTEGERS),
+        T.StructField("pe_entry_point", T.LongType()),
+        T.StructField("pe_entry_bytes", T.BinaryType()),
+    ]
+)
 
 
 def latin1(content: Column) -> Column:
@@ -37,13 +49,13 @@ def file_prefix(content: Column, n: int = 8) -> Column:
     return F.substring(content, 1, n)
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def entropy_of(contents: pd.Series) -> pd.Series:
     """Exact byte entropy in bits a byte."""
     return pd.Series([None if c is None else entropy(bytes(c)) for c in contents], dtype="float32")
 
 
-@F.pandas_udf("struct<" + ", ".join(p.replace(" ", ":", 1) for p in META_DDL.split(", ")) + ">")
+@F.pandas_udf(META_TYPE)
 def headers_of(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """The struct of header fields of each content."""
     for batch in contents:
@@ -58,3 +70,7 @@ def distinct_grams_of(content: Column, n: int) -> Column:
         return pd.Series([None if c is None else len(grams_of(bytes(c), n)) for c in contents], dtype="Int64")
 
     return count(content)
+
+
+entropy_of = entropy_of.asNondeterministic()
+headers_of = headers_of.asNondeterministic()

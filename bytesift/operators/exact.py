@@ -7,12 +7,12 @@ from dataclasses import dataclass, field
 from functools import reduce
 from operator import add, and_, or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bytesift.functions.content import binary, digest, entropy_of, headers_of, latin1
 from bytesift.functions.fields import BOOLEANS, column_name
-from bytesift.plans.ast import And, At, Const, Contains, Count, Entropy, Field, FieldField, FieldNow, FileSize, Identity, Ignored, In, Node, NOf, Not, Now, Offset, Or, Read, Verified
+from bytesift.plans.ast import And, At, Const, Contains, Count, Entropy, Field, FieldField, FieldNow, FileSize, Identity, Ignored, In, Node, NOf, Not, Now, Offset, Or, Read, Verified, walk
 from bytesift.plans.errors import RuleError
 from bytesift.plans.patterns import Pattern
 
@@ -25,7 +25,7 @@ def compare(left: Column, op: str, right) -> Column:
 
 @dataclass
 class Content:
-    """Where a predicate finds a row's content, and what is known of it already (computed from the content where not given)."""
+    """Where a predicate finds a row's content, and the columns of what Python computes from it; see prepared."""
 
     content: Column
     size: Column | None = None
@@ -39,10 +39,26 @@ class Content:
 
     def field(self, name: str) -> Column:
         if self.meta is None:
-            self.meta = headers_of(self.content)
+            raise ValueError("the condition needs header fields")
         return self.meta[column_name(name) if "." in name else name]
 
 
+def prepared(df: DataFrame, conditions: list[Node], content: str, now: int | None = None) -> tuple[DataFrame, Content, list[str]]:
+    """df with the columns that need Python, if a condition needs them, where predicates find them, and these columns' names.
+
+    They are marked as not deterministic, so that each is computed once a row and not once a use.
+    """
+    nodes = [n for c in conditions for n in walk(c)]
+    meta = any(isinstance(n, (Field, FieldNow, FieldField)) or isinstance(n, (At, In)) and "pe.entry_point" in {n.offset.base if isinstance(n, At) else n.low.base} for n in nodes)
+    extra = []
+    if meta:
+        df, extra = df.withColumn("_meta", headers_of(F.col(content))), [*extra, "_meta"]
+    if any(isinstance(n, Entropy) for n in nodes):
+        df, extra = df.withColumn("_entropy", entropy_of(F.col(content))), [*extra, "_entropy"]
+    own = {c.lstrip("_"): F.col(c) for c in extra}
+    return df, Content(F.col(content), now=int(time.time()) if now is None else now, **own), extra
+
+
 def occurs(p: Pattern, c: Content) -> Column:
     if p.texts:
         return reduce(or_, (F.contains(c.content, binary(t)) for t in p.texts))
@@ -64,9 +80,6 @@ def starts_between(p: Pattern, low: Offset, high: Offset, c: Content) -> Column:
             return F.lit(False)
         before = f"{ANY}{{{max(0, low.value)},{high.value}}}?"
         return c.text.rlike(rf"\A{before}(?:{p.regex})")
-    if low.base is None and p.texts and high == Offset(0, "filesize"):
-        start = F.lit(max(0, low.value) + 1)
-        return reduce(or_, (F.position(binary(t), c.content, start) > 0 for t in p.texts))
     before = f"{ANY}{{{max(0, low.value)},}}?" if low.base is None else f"{ANY}*?" if high.base else f"{ANY}{{0,{high.value}}}?" if high.value >= 0 else "(?!)"
     ahead = (_until_end(low, True) if low.base else "") + (_until_end(high, False) if high.base else "")
     return c.text.rlike(rf"\A{before}{ahead}(?:{p.regex})")
@@ -146,8 +159,9 @@ def predicate(node: Node, patterns: dict[str, Pattern], c: Content) -> Column:
     if isinstance(node, Now):
         return compare(F.lit(c.now), node.op, F.lit(node.value))
     if isinstance(node, Entropy):
-        own = entropy_of(c.content) if c.entropy is None else c.entropy
-        return compare(own.cast("float"), node.op, F.lit(node.value).cast("float"))
+        if c.entropy is None:
+            raise ValueError("the condition needs the entropy")
+        return compare(c.entropy.cast("float"), node.op, F.lit(node.value).cast("float"))
     if isinstance(node, Identity):
         return digest(c.content, node.kind) == node.digest
     if isinstance(node, Read):

@@ -101,7 +101,7 @@ def verify(found: DataFrame, contents: DataFrame, queries: list[Query], key: str
     """
     docs = found.groupBy(key).agg(F.collect_set("rule").alias("rules"))
     read = docs.join(contents.select(key, "content"), key, "left")
-    c = exact.Content(F.col("content"), now=int(time.time()) if now is None else now)
+    read, c, _ = exact.prepared(read, [q.condition for q in queries], "content", now)
     own = F.array(*[F.struct(F.lit(q.name).alias("rule"), F.when(F.array_contains("rules", q.name), matches(q, c)).alias("hit")) for q in queries])
     states = read.select(key, F.col("content").isNotNull().alias("there"), F.explode(own).alias("v")).filter(F.col("v.hit").isNotNull() | ~F.col("there"))
     states = states.select(key, F.col("v.rule").alias("rule"), F.when(~F.col("there"), "skipped").when(F.col("v.hit"), "matched").otherwise("not_matched").alias("state"))
@@ -123,8 +123,8 @@ def display_order(verified: DataFrame) -> DataFrame:
 def scan(contents: DataFrame, queries: list[Query] | str, now: int | None = None, content_col: str = "content") -> DataFrame:
     """contents with rule, a row for each rule that a content matches exactly: one scan, no index."""
     queries = compile_source(queries) if isinstance(queries, str) else queries
-    c = exact.Content(F.col(content_col), now=int(time.time()) if now is None else now)
-    return _tagged(contents, [(q.name, matches(q, c)) for q in queries])
+    df, c, extra = exact.prepared(contents, [q.condition for q in queries], content_col, now)
+    return _tagged(df, [(q.name, matches(q, c)) for q in queries]).drop(*extra)
 
 
 def truth(contents: DataFrame, queries: list[Query], key: str = "external_id") -> DataFrame:
