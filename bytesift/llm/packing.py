@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences, with certified bin counts.
 
 Pieces are dealt to partitions. Each partition packs by best-fit decreasing and bounds its number of bins from
-below by dual feasible functions. A partition that meets its bound is done for good. The others keep their full bins,
-exchange the documents of the rest - dealt anew among fewer partitions - and pack again, until all are
-certified, one partition is left, or a round saves no bin.
+below by dual feasible functions. A partition that meets its bound is certified and settles all bins but its
+emptiest; one with a gap settles its full bins. The documents of the other bins are exchanged - dealt anew among
+fewer partitions - and packed again, until one partition is left or a round settles nothing.
 """
 
 from __future__ import annotations
@@ -101,7 +101,10 @@ def _pack(capacity: int):
         sizes = group["length"].to_numpy(np.int64)
         bins, offsets, n = best_fit_decreasing(sizes, capacity)
         fill = np.bincount(bins, weights=sizes, minlength=n).astype(np.int64)
-        return group.assign(bin=bins, offset=offsets, full=fill[bins] == capacity, gap=n - lower_bound(sizes, capacity))
+        gap = n - lower_bound(sizes, capacity)
+        # Settled: full bins, and if the count is certified all but the emptiest bin, whose documents may fit elsewhere.
+        settled = (fill == capacity) | ((gap == 0) & (np.arange(n) != fill.argmin()))
+        return group.assign(bin=bins, offset=offsets, settled=settled[bins], gap=gap)
 
     return pack
 
@@ -123,17 +126,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, partition_pieces: int =
             break
         parts = -(-n // partition_pieces)
         dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(round_), "doc_id", "piece", "ids_crc32", F.lit("deal")), F.lit(parts)).cast("int"))
-        packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity), PIECES + ", part int, bin long, offset long, full boolean, gap long"))
-        gaps = packed.groupBy("part").agg(F.max("gap").alias("gap"), (F.max("bin") + 1).alias("bins"))
-        open_, bins = gaps.agg(F.count_if(F.col("gap") > 0), F.coalesce(F.sum(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(0))).first()
-        placed = packed.select(*names, number(round_, F.col("part"), F.col("bin")).alias("sequence_id"), "offset", "full", "gap")
-        if open_ <= 1 or parts == 1 or before is not None and bins >= before:
-            done.append(placed.drop("full", "gap"))
+        packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity), PIECES + ", part int, bin long, offset long, settled boolean, gap long"))
+        placed = packed.select(*names, number(round_, F.col("part"), F.col("bin")).alias("sequence_id"), "offset", "settled")
+        if parts == 1 or before is not None and n >= before:
+            done.append(placed.drop("settled"))
             break
-        before = bins
-        certain = F.col("full") | (F.col("gap") == 0)
-        done.append(placed.filter(certain).drop("full", "gap"))
-        pool = packed.filter(~certain).select(*names)
+        before = n
+        done.append(placed.filter("settled").drop("settled"))
+        pool = packed.filter("NOT settled").select(*names)
     return reduce(DataFrame.unionByName, done)
 
 

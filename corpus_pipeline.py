@@ -15,7 +15,7 @@ from bytesift.llm.common import fresh_dir
 from bytesift.llm.queries import MIN_SITES
 
 #: Mean probability below which no language is recognised.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
