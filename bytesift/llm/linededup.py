@@ -31,7 +31,9 @@ def boilerplate_keys(lines: DataFrame, min_sites: int, lg_k: int = LG_K) -> Data
     error = 3 * 1.04 / 2 ** (lg_k / 2)  # three standard errors of the estimate
     low, high = min_sites * (1 - error) - 0.5, min_sites * (1 + error) + 0.5
     wide = cut(spread.filter(F.col("sites") >= low))
-    near = wide.filter(F.col("sites") <= high).select("k1", "k2")
+    near = cut(wide.filter(F.col("sites") <= high).select("k1", "k2"))
+    # Broadcast, the few near lines leave a very common line to partial counts; joined, its rows would meet in one task.
+    near = F.broadcast(near) if near.count() <= BROADCAST_LINES else near
     exact = lines.join(near, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count_distinct("site").alias("sites"))
     return cut(wide.filter(F.col("sites") > high).select("k1", "k2").unionByName(exact.filter(F.col("sites") >= min_sites).select("k1", "k2")))
 
