@@ -26,7 +26,8 @@ NONE = np.iinfo(np.int64).min
 def rotation(x: np.ndarray) -> np.ndarray:
     """Right singular vectors of x as columns, by descending singular value. Any orthogonal matrix is right; this one prunes."""
     scale = np.abs(x).max() if x.size else 0
-    return np.linalg.svd(x / (scale or 1), full_matrices=True)[2].T if len(x) else np.eye(x.shape[1])
+    y = x / (scale or 1)
+    return np.linalg.svd(y.T @ y)[0]  # the right singular vectors of y, in memory that does not grow with its rows
 
 
 def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
