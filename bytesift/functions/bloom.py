@@ -45,6 +45,8 @@ def grams_of(data: bytes, n: int) -> np.ndarray:
         for i in range(n):
             gram |= own[i : len(own) - n + 1 + i] << np.uint64(8 * i)
         parts.append(np.unique(gram))
+    if len(parts) == 1:
+        return parts[0]
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
