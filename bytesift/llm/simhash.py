@@ -57,10 +57,10 @@ def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0."""
+def fingerprints(docs: DataFrame, shingle: int, keep: list[str], sizes: bool = False) -> DataFrame:
+    """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0. sizes: and size_, the number of distinct shingles."""
     bounded_batches(docs.sparkSession)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"size_": "int"}
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -70,6 +70,9 @@ def fingerprints(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fp)], names=[*keep, "fp"])
 
     hashed = docs.select(*keep, words_of(F.col("text")).alias("words_")).select(*keep, shingle_hashes(F.col("words_"), shingle).alias("hashes_"))
+    if sizes:
+        hashed = hashed.select(*keep, F.size(F.array_distinct("hashes_")).alias("size_"), "hashes_")
+        keep = [*keep, "size_"]
     return hashed.mapInArrow(prints, ", ".join(f"{c} {types[c]}" for c in keep) + ", fp long")
 
 
@@ -285,7 +288,7 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Data
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 12) -> DataFrame:
+def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 14) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays (null ids last; among equal ids one row).
 
     Candidates are texts whose fingerprints over shingles of `shingle` words differ in at most max_bits; a link needs
@@ -296,10 +299,13 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     marked = with_row_id(docs, rid)
     text = F.array_join(words_of(F.col("text")), " ")
     rows = marked.select(F.col(rid).alias("rid"), "doc_id", text.alias("text")).withColumn("node", F.xxhash64("text"))
-    prints = cut(fingerprints(rows, shingle, ["rid", "doc_id", "node"]))
+    prints = cut(fingerprints(rows, shingle, ["rid", "doc_id", "node"], sizes=True))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))
-    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), first.alias("first")))
-    links = cut(candidate_links(nodes, max_bits, 1))
+    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size_").alias("n"), first.alias("first")))
+    # Sets whose sizes differ by more can't be so similar; what is left goes to the shingles themselves.
+    na, nb = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    links = candidate_links(nodes, max_bits, 1).join(na, "a").join(nb, "b")
+    links = cut(links.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b"))
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
     keep = nodes.join(ends, "node").select(F.col("first.rid").alias("rid"), "node")
     sets = cut(rows.select("rid", "text").join(keep, "rid").select("node", words_of(F.col("text")).alias("words_")).select("node", F.array_distinct(shingle_hashes(F.col("words_"), shingle)).alias("s")))
