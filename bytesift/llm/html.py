@@ -36,17 +36,26 @@ WORDS = frozenset(
 OUTER_WORDS = frozenset(["header", "head", "top", "bottom", "logo", "copyright", "copy", "legal"])
 #: Lines over which ratios are smoothed (standard deviation).
 SIGMA = 1.5
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: First words of class names that tell what a wrapper has around it, not what it is (has-sidebar, page-header-fixed).
+ABOUT = frozenset("has with no without is not js layout page body theme site wrapper".split())
+#: Words by which even an article is a reader's comment.
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
+#: Share of a line's characters in links from which it is no text, outside articles.
+LINKED = 0.6
 
 
 def _words(value: str | None) -> set[str]:
-    """The words of a class or id, split at signs and at capitals."""
-    spaced = re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", value or "")
-    return {w for w in re.split(r"[^a-z0-9]+", spaced.lower()) if w}
+    """The words of a class attribute or an id, split at signs and at capitals, without names that only tell of a layout."""
+    out: set[str] = set()
+    for name in (value or "").split():
+        own = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name).lower()) if w]
+        if own and (own[0] not in ABOUT or len(own) == 2 and own[0] in ("site", "page")):
+            out.update(own)
+    return out
 
 
 class Lines(HTMLParser):
-    """Parser events -> lines: (text, characters, tags, region, in an article)."""
+    """Parser events -> lines: (text, characters, tags, region, in an article, characters in links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -55,14 +64,17 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = self.regions = 0
         self.region = [0]
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.links = self.linked = 0
+        self.lines: list[tuple[str, int, int, int, bool, int]] = []
 
     def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in NEVER or tag == "header" and not self.articles:
             return True
-        if tag in ("html", "body") or tag in ARTICLE:
+        if tag in ("html", "body", "main"):
             return False
         own = dict(attrs)
+        if tag == "article":
+            return bool((_words(own.get("class")) | _words(own.get("id"))) & COMMENT_WORDS)
         if "hidden" in own or (own.get("aria-hidden") or "").lower() == "true" or (own.get("role") or "").lower() in ROLES:
             return True
         words = _words(own.get("class")) | _words(own.get("id"))
@@ -71,8 +83,8 @@ class Lines(HTMLParser):
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, len(text), max(1, self.tags), self.region[-1], self.articles > 0))
-        self.parts, self.tags = [], 0
+            self.lines.append((text, len(text), max(1, self.tags), self.region[-1], self.articles > 0, self.linked))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK and not self.aside:
@@ -91,6 +103,7 @@ class Lines(HTMLParser):
         self.stack.append((tag, aside, article))
         self.aside += aside
         self.articles += article
+        self.links += tag == "a"
         if tag in ("body", "div", "section", "article", "main", "td", "center", "blockquote"):
             self.regions += 1
             self.region.append(self.regions)
@@ -102,6 +115,7 @@ class Lines(HTMLParser):
         tag, aside, article = self.stack.pop()
         self.aside -= aside
         self.articles -= article
+        self.links -= tag == "a"
         if tag in ("body", "div", "section", "article", "main", "td", "center", "blockquote"):
             self.region.pop()
         return tag
@@ -127,6 +141,7 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.aside:
             self.parts.append(data)
+            self.linked += len(data) if self.links else 0
 
     def close(self) -> None:
         super().close()
@@ -163,14 +178,17 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    value = smoothed(np.array([n / tags for _, n, tags, _, _ in lines]))
-    upper = value >= threshold(value)
+    ratio = np.array([n / tags for _, n, tags, *_ in lines])
+    value = smoothed(ratio)
+    # A dense line is content even where menus beside it lower its smoothed ratio.
+    upper = np.flatnonzero((value >= threshold(value)) | (ratio >= threshold(ratio)))
     if any(line[4] for line in lines):
         # The page marks its article: the upper cluster's regions in it stand for the whole of it.
         chosen = [line[4] for line in lines]
     else:
-        regions = {line[3] for line, up in zip(lines, upper) if up}
-        chosen = [line[3] in regions for line in lines]
+        # The upper cluster from its first to its last line, and the rest of its regions; but no lists of links.
+        regions = {lines[i][3] for i in upper}
+        chosen = [(upper[0] <= i <= upper[-1] or line[3] in regions) and line[5] <= LINKED * line[1] for i, line in enumerate(lines)]
     return "\n".join(line[0] for line, own in zip(lines, chosen) if own)
 
 

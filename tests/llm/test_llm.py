@@ -366,6 +366,9 @@ PARAGRAPH = "A sentence of the article that goes on for a while, as such sentenc
         ("<article><p>&eacute;&nbsp;&#x4e2d; &lt;b&gt;</p></article>", "é 中 <b>"),
         ("<article><div><p>open <b>bold<div class=ad>buy</div> rest", "open bold\nrest"),
         ("plain text only", "plain text only"),
+        (f"<div class='page has-sidebar'><div><a href=1>One</a> <a href=2>Two</a></div><div><p>{PARAGRAPH}</p></div><div><p>Short.</p></div><div><p>{PARAGRAPH}</p></div><div class='sideBar widget'>x</div></div>", f"{PARAGRAPH.strip()}\nShort.\n{PARAGRAPH.strip()}"),
+        (f"<main><h1>T</h1><p>{PARAGRAPH}</p><article class='comment'><p>{PARAGRAPH}</p></article></main>", f"T\n{PARAGRAPH.strip()}"),
+        (f"<article><header><h1>T</h1></header><p>{PARAGRAPH}<a href=x>link</a></p><div class='share-buttons'>Share</div><section id='comments'>{PARAGRAPH}</section></article>", f"T\n{PARAGRAPH}link"),
     ],
 )
 def test_main_text(page, want):
