@@ -80,13 +80,13 @@ rule("regex_class", "strings: $a = /[0-9]{3}-[0-9]{4}/ condition: $a", "regexp_m
 rule("regex_nocase", "strings: $a = /the +[a-z]+tion\\b/i condition: $a", "regexp_matches(t, '(?i)the +[a-z]+tion([^0-9A-Za-z_]|$)')")
 rule("regex_start", "strings: $a = /^The [a-z]/ condition: $a", "regexp_matches(t, '^The [a-z]')")
 rule("regex_end", "strings: $a = /tion\\.$/ condition: $a", "regexp_matches(t, 'tion\\.$')")
-rule("regex_dot", "strings: $a = /the.{1,4}and/ condition: $a", "regexp_matches(replace(t, 'é', '##'), 'the.{1,4}and')")
+rule("regex_dot", "strings: $a = /the.{1,4}and/ condition: $a", "regexp_matches(hex(t), '^(..)*746865([^0].|0[^A]){1,4}616E64')")
 # hex strings
 rule("hex_bytes", "strings: $a = { 74 68 65 20 } condition: $a", HAS("the "))
-rule("hex_wild", "strings: $a = { 74 ?? 65 20 6? } condition: $a", "regexp_matches(t, '(?s)t[\\x00-\\x7f]e [`-o]')")
-rule("hex_jump", "strings: $a = { 74 68 65 20 [2-5] 6E 64 20 } condition: $a", "regexp_matches(t, '(?s)the [\\x00-\\x7f]{2,5}nd ')")
+rule("hex_wild", "strings: $a = { 74 ?? 65 20 6? } condition: $a", "regexp_matches(hex(t), '^(..)*74..65206')")
+rule("hex_jump", "strings: $a = { 74 68 65 20 [2-5] 6E 64 20 } condition: $a", "regexp_matches(hex(t), '^(..)*74686520(..){2,5}6E6420')")
 rule("hex_alt", "strings: $a = { 74 68 ( 61 6E | 65 6E | 69 73 ) 20 } condition: $a", "regexp_matches(t, 'th(an|en|is) ')")
-rule("hex_open_jump", "strings: $a = { 54 68 65 20 [-] 6C 69 63 65 6E 73 65 } condition: $a", "regexp_matches(t, '(?s)The .*license')")
+rule("hex_open_jump", "strings: $a = { 54 68 65 20 [-] 6C 69 63 65 6E 73 65 } condition: $a", "regexp_matches(hex(t), '^(..)*54686520(..)*6C6963656E7365')")
 # sets
 rule("any_of", 'strings: $a = "license" $b = "password" $c = "@" condition: any of them', f"{HAS('license')} OR {HAS('password')} OR {HAS('@')}")
 rule("all_of", 'strings: $a = "the " $b = "of " $c = "in " condition: all of ($a, $b, $c)', f"{HAS('the ')} AND {HAS('of ')} AND {HAS('in ')}")
@@ -105,7 +105,7 @@ rule("time_now", "condition: time.now > 5 and filesize < 700", f"{SIZE} < 700")
 rule("header_field", "condition: not pe.is_pe and not elf.is_elf and pe.machine != 0x14c or filesize < 650", f"{SIZE} < 650")
 # places and counts
 rule("at_offset", 'strings: $a = "The " $b = "hat" condition: $a at 0 or $b at 1', "starts_with(t, 'The ') OR starts_with(substr(t, 2), 'hat') AND ascii(t) < 128")
-rule("in_range", 'strings: $a = "the " condition: $a in (0..20)', "instr(t, 'the ') BETWEEN 1 AND 21 AND NOT regexp_matches(substr(t, 1, 24), '[^\\x00-\\x7f]') OR (regexp_matches(substr(t, 1, 24), '[^\\x00-\\x7f]') AND octet_length(encode(split_part(t, 'the ', 1))) <= 20 AND contains(t, 'the '))")
+rule("in_range", 'strings: $a = "the " condition: $a in (0..20)', "contains(t, 'the ') AND octet_length(encode(split_part(t, 'the ', 1))) <= 20")
 rule("in_tail", "strings: $a = /tion\\./ condition: $a in (filesize-5..filesize)", "ends_with(t, 'tion.')")
 rule("count_ge", 'strings: $a = "the " condition: #a >= 5', "len(string_split(t, 'the ')) - 1 >= 5")
 rule("count_lt", 'strings: $a = "the " condition: #a < 3', "len(string_split(t, 'the ')) - 1 < 3")
@@ -286,38 +286,32 @@ def digest_sha512(spark, sf):
     return contents(spark, sf).select("doc_id", fc.digest(F.col("content"), "sha512").alias("sha512"))
 
 
-ASCII = "NOT regexp_matches(text, '[^\\x00-\\x7f]')"
-
-
-@register(f"""
-SELECT doc_id, count(DISTINCT substr(text, i, 3)) AS grams3, count(DISTINCT CASE WHEN i <= length(text) - 3 THEN substr(text, i, 4) END) AS grams4
-FROM (SELECT doc_id, text, unnest(generate_series(1, length(text) - 2)) AS i FROM documents WHERE {ASCII} AND length(text) >= 3) GROUP BY 1
+@register("""
+SELECT doc_id, count(DISTINCT CASE WHEN i <= n - 2 THEN substr(h, 2 * i - 1, 6) END) AS grams3, count(DISTINCT CASE WHEN i <= n - 3 THEN substr(h, 2 * i - 1, 8) END) AS grams4
+FROM (SELECT doc_id, hex(text) AS h, octet_length(encode(text)) AS n, unnest(generate_series(1, greatest(octet_length(encode(text)), 1))) AS i FROM documents WHERE text IS NOT NULL) GROUP BY 1
 """)
 def distinct_grams(spark, sf):
-    """Distinct 3-grams and 4-grams of the texts that are ASCII (the SQL counts characters)."""
-    rows = contents(spark, sf).filter((F.octet_length("content") >= 3) & ~fc.latin1(F.col("content")).rlike(r"[\x80-\xff]"))
+    """Distinct runs of 3 and of 4 bytes of each document."""
+    c = F.col("content")
+    return contents(spark, sf).select("doc_id", fc.distinct_grams_of(c, 3).alias("grams3"), fc.distinct_grams_of(c, 4).alias("grams4"))
 
-    return rows.select("doc_id", fc.distinct_grams_of(F.col("content"), 3).alias("grams3"), fc.distinct_grams_of(F.col("content"), 4).alias("grams4"))
 
+BYTES = """
+WITH c AS (SELECT doc_id, octet_length(encode(text)) AS n, substr(hex(text), 2 * i::BIGINT - 1, 2) AS ch
+    FROM (SELECT doc_id, text, unnest(generate_series(1, octet_length(encode(text)))) AS i FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT doc_id, max(n) AS n, ch, count(*) AS k FROM c GROUP BY doc_id, ch),
+e AS (SELECT doc_id, -sum(k / n * log2(k / n)) AS entropy FROM f GROUP BY 1)
+"""
 
-@register(f"""
-WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM documents WHERE {ASCII} AND length(text) > 0),
-f AS (SELECT doc_id, max(n) AS n, ch, count(*) AS k FROM c GROUP BY doc_id, ch)
-SELECT doc_id, round(-sum(k / n * log2(k / n)), 3) AS entropy FROM f GROUP BY 1
-""")
+
+@register(BYTES + "SELECT doc_id, round(coalesce(entropy, 0), 3) AS entropy FROM documents LEFT JOIN e USING (doc_id) WHERE text IS NOT NULL")
 def entropy_values(spark, sf):
-    rows = contents(spark, sf).filter((F.octet_length("content") > 0) & ~fc.latin1(F.col("content")).rlike(r"[\x80-\xff]"))
-    return rows.select("doc_id", F.round(fc.entropy_of("content").cast("double"), 3).alias("entropy"))
+    return contents(spark, sf).select("doc_id", F.round(fc.entropy_of("content").cast("double"), 3).alias("entropy"))
 
 
-@register(f"""
-WITH c AS (SELECT doc_id, length(text) AS n, unnest(string_split(text, '')) AS ch FROM documents WHERE {ASCII} AND length(text) > 0),
-f AS (SELECT doc_id, max(n) AS n, ch, count(*) AS k FROM c GROUP BY doc_id, ch)
-SELECT doc_id FROM f GROUP BY 1 HAVING -sum(k / n * log2(k / n)) > 4.1
-""")
+@register(BYTES + "SELECT doc_id FROM e WHERE entropy > 4.1")
 def entropy_gt(spark, sf):
-    rows = contents(spark, sf).filter((F.octet_length("content") > 0) & ~fc.latin1(F.col("content")).rlike(r"[\x80-\xff]"))
-    return search.scan(rows, "rule r { condition: math.entropy(0, filesize) > 4.1 }").select("doc_id")
+    return search.scan(contents(spark, sf), "rule r { condition: math.entropy(0, filesize) > 4.1 }").select("doc_id")
 
 
 @register("""
@@ -430,6 +424,56 @@ def stream_events(spark, sf):
     return spark.read.schema("event_type string, user_id long").parquet(f"{root}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
+@register("""
+WITH d AS (SELECT sha256(text) AS h, doc_id FROM documents WHERE text IS NOT NULL), f AS (SELECT h, min(doc_id) AS first FROM d GROUP BY 1)
+SELECT d.doc_id AS "order", d.h AS identity_hex, CAST(f.first AS VARCHAR) AS external_id, f.first AS doc_id FROM d JOIN f USING (h)
+""")
+def identity_lookup(spark, sf):
+    """The stored document of each document's identity."""
+    rows = placed(spark, sf).withColumn("external_id", F.col("doc_id").cast("string"))
+    return maintenance.lookup(rows, rows.select(F.col("doc_id").alias("order"), "identity_hex"))
+
+
+@register(f"""
+WITH d AS (SELECT sha256(text) AS h, any_value(text) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT 'sized' AS rule, count(*) AS matches, count(*) AS candidates, 0::BIGINT AS missed, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall FROM d WHERE octet_length(encode(t)) > 2048
+""")
+def truth_join(spark, sf):
+    """Exact matches against candidates of a condition that the index decides: precision and recall are 1."""
+    queries = compile_source("rule sized { condition: filesize > 2KB }")
+    rows = contents(spark, sf).select(fc.digest(F.col("content"), "sha256").alias("identity_hex"), "content")
+    docs = rows.select("identity_hex", F.octet_length("content").cast("long").alias("file_size"), F.lit(None).cast("string").alias("external_id"), F.lit(0).alias("tree"), F.lit(0).alias("doc_id"))
+    return search.join_truth(search.scan(rows, queries), search.candidates(docs, queries, Policy(), search.Options(0)), ["identity_hex"])
+
+
+@register("SELECT 'inserted' AS status, count(DISTINCT sha256(text)) AS n FROM documents WHERE text IS NOT NULL")
+def export_import(spark, sf):
+    """A table's live rows exported and imported into another."""
+    store, at = indexed(spark, sf), shared(spark)
+    maintenance.export_live(store, f"{at}/rows")
+    other = Store(spark, f"{at}/table")
+    other.init(Policy(store_path=True))
+    return maintenance.import_rows(other, f"{at}/rows").groupBy("status").agg(F.count("*").alias("n"))
+
+
+@register("""
+SELECT 'sized' AS rule, h AS identity_hex FROM (SELECT sha256(text) AS h, octet_length(encode(text)) AS n FROM documents UNION SELECT sha256(text), octet_length(encode(text)) FROM conversations) WHERE n > 1024
+""")
+def multi_table_search(spark, sf):
+    """Two tables, of documents and of conversations, searched as one."""
+    stores = [indexed(spark, sf), indexed(spark, sf, "conversations")]
+    docs = stores[0].docs().unionByName(stores[1].docs())
+    return search.distinct_hits(search.candidates(docs, compile_source("rule sized { condition: filesize > 1KB }"), Policy(), search.Options(0))).select("rule", "identity_hex")
+
+
+@register("""
+WITH d AS (SELECT sha256(text) AS h, any_value(text) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1)
+SELECT count(*) AS live_docs, 0::BIGINT AS deleted_docs, sum(octet_length(encode(t)))::BIGINT AS bytes, 0::BIGINT AS special_docs, ceil(count(*) / 5000)::BIGINT AS trees FROM d
+""")
+def table_stats(spark, sf):
+    return maintenance.stats(indexed(spark, sf)).select("live_docs", "deleted_docs", "bytes", "special_docs", "trees")
+
+
 @register()
 def rule_check(spark, sf):
     """Reports on one rule of each kind."""
