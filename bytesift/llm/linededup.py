@@ -48,6 +48,7 @@ def dedup_lines(docs: DataFrame, min_sites: int, site: str = "source", lg_k: int
     deterministic scan, for rows are found again by their place in it.
     """
     rid = free_name(docs, "row_id")
+    gone_name = free_name(docs, "gone_lines")
     names = [free_name(docs, c) for c in ("n_lines", "n_removed")]
     marked = with_row_id(docs, rid)
     split = F.split(F.col("text"), "\n")
@@ -59,13 +60,12 @@ def dedup_lines(docs: DataFrame, min_sites: int, site: str = "source", lg_k: int
     found = cut(lines.join(F.broadcast(wide) if few else wide, ["k1", "k2"]).select("k1", "k2", "rid", "pos", place.alias("place")))
     first = cut(found.groupBy("k1", "k2").agg(F.min("place").alias("first")))
     gone = found.join(F.broadcast(first) if few else first, ["k1", "k2"]).filter(~F.col("place").eqNullSafe(F.col("first")))
-    gone = gone.groupBy("rid").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("rid", rid).withColumnRenamed("gone", f"{rid}_gone")
+    gone = gone.groupBy("rid").agg(F.collect_list("pos").alias("gone")).withColumnRenamed("rid", rid).withColumnRenamed("gone", gone_name)
     joined = marked.join(gone, rid, "left")
-    took = F.col(f"{rid}_gone")
+    took = F.col(gone_name)
     stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), took)
     text = F.when(took.isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
-    counts = [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias(names[0]), F.coalesce(F.size(took), F.lit(0)).alias(names[1])]
-    counts[1] = F.when(took.isNull(), 0).otherwise(F.size(took)).alias(names[1])
+    counts = [F.when(x.isNull(), 0).otherwise(F.size(y)).alias(c) for x, y, c in ((F.col("text"), split, names[0]), (took, took, names[1]))]
     return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *counts)
 
 

@@ -155,8 +155,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     docs must be a deterministic scan (a table or files), for rows are found again by their place in it.
     """
-    rid = free_name(docs, "row_id")
+    rid, times = free_name(docs, "row_id"), free_name(docs, "row_copies")
     marked = with_row_id(docs, rid)
     rows = marked.select(F.col(rid).alias("key"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("order"))
-    taken = mix(rows, **options).filter("copies > 0").select(F.col("key").alias(rid), F.array_repeat(F.lit(0), F.col("copies")).alias(f"{rid}_copies"))
-    return marked.join(taken, rid).withColumn(f"{rid}_copies", F.explode(f"{rid}_copies")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(rows, **options).filter("copies > 0").select(F.col("key").alias(rid), F.array_repeat(F.lit(0), F.col("copies")).alias(times))
+    return marked.join(taken, rid).withColumn(times, F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -174,7 +174,7 @@ def test_mixing(spark):
 
 
 def test_mixed_rows(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b", "x", 1), (2, "c d e", "y", 2), (2, "c d e", "y", 2), (None, "f", None, 3)], "doc_id long, text string, source string, row_id int")
+    docs = spark.createDataFrame([(1, "a b", "x", 1), (2, "c d e", "y", 2), (2, "c d e", "y", 2), (None, "f", None, 3)], "doc_id long, text string, source string, row_id int").withColumn("row_copies", F.lit(1))
     docs.write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     out = mixing.mixed(docs)
@@ -420,10 +420,10 @@ def test_line_dedup(spark, tmp_path, monkeypatch, limit):
     lines = [f"line {i}" for i in range(40)] + ["", "  "]
     rows = [(i, f"s{rng.integers(0, 8)}" if i % 11 else None, "\n".join(rng.choice(lines, rng.integers(0, 12)))) for i in range(80)]
     rows += [(1000, "s1", None), (1001, "s2", "\n"), (1002, "s3", "  line 3\t\nonly here"), (1003, "s3", "\n".join(["line 3"] * 30_000))]
-    spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_lines", F.lit(1)).write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("n_lines", F.lit(1)).withColumn("gone_lines", F.lit(2)).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     got = linededup.dedup_lines(docs, min_sites=5)
-    assert got.columns == ["doc_id", "source", "text", "n_lines", "_n_lines", "n_removed"]
+    assert got.columns == ["doc_id", "source", "text", "n_lines", "gone_lines", "_n_lines", "n_removed"]
     want = brute_lines(rows, 5)
     found = got.collect()
     assert {r.doc_id: r.text for r in found} == want and len(found) == len(rows)
