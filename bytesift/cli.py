@@ -1,10 +1,11 @@
-"""Command line: python -m bytesift.cli COMMAND ..."""
+"""Command line: python -m bytesift.cli [--perf-report FILE] [local] COMMAND ...; without a command, `--rule R PATH...` scans."""
 
 from __future__ import annotations
 
 import argparse
 import json
 import sys
+import time
 
 from bytesift.plans.policy import Policy
 
@@ -41,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--root")
     c.add_argument("--id-source")
     c.add_argument("--gram-sizes", type=grams, default=(3, 4))
+    c.add_argument("--max-anchors-per-pattern", type=int, default=16)
     c.add_argument("--json", action="store_true")
     c = command("search", "root", "rule")
     c.add_argument("--max-anchors-per-pattern", type=int, default=16)
@@ -82,12 +84,24 @@ def main(argv: list[str] | None = None, out=None) -> int:
     from bytesift.plans.errors import RuleError
 
     out = out or sys.stdout
+    argv = list(sys.argv[1:] if argv is None else argv)
+    report = None
+    if argv[:1] == ["--perf-report"] and len(argv) > 1:
+        report, argv = argv[1], argv[2:]
+    if argv[:1] == ["local"]:  # all tables are local to the session
+        argv = argv[1:]
+    if argv[:1] == ["--rule"]:
+        argv = ["scan", *argv]
     args = parser().parse_args(argv)
+    began, code = time.perf_counter(), 1
     try:
-        return _run(args, out)
+        code = _run(args, out)
     except (RuleError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)
-        return 1
+    if report:
+        with open(report, "w", encoding="utf-8") as f:
+            json.dump({"command": args.command, "seconds": round(time.perf_counter() - began, 6), "exit": code}, f)
+    return code
 
 
 def _run(args, out) -> int:

@@ -46,6 +46,8 @@ def insert_rows(store: Store, rows: DataFrame) -> DataFrame:
     fresh = fresh.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row a partition
     fresh = fresh.withColumn("doc_id", F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1))
     fresh = fresh.withColumn("tree", F.floor(F.col("doc_id") / policy.tree_docs).cast("int")).withColumn("shard", shard_of(F.col("identity_hex"), policy.shards))
+    if not policy.store_path:
+        fresh = fresh.withColumn("external_id", F.lit(None).cast("string"))
     target = store.new_folder("docs")
     _columns(fresh).write.partitionBy("tree", "shard").parquet(f"{store.root}/{target}")
     added = store.spark.read.schema(DOCS).parquet(f"{store.root}/{target}").count()

@@ -11,6 +11,8 @@ from bytesift.functions.fields import DIGESTS
 
 @dataclass(frozen=True)
 class Policy:
+    """store_path: whether documents keep their external_id, which verification reopens contents by."""
+
     id_source: str = "sha256"
     store_path: bool = False
     grams: tuple[int, int] = (3, 4)

@@ -132,7 +132,7 @@ def test_caps_tiers_and_impossible_queries():
 
 
 def test_engine_life(spark, tmp_path, contents):
-    engine = Engine(spark, str(tmp_path / "t")).init(Policy(id_source="md5", tree_docs=7, shards=3, dedup_min_docs=1, compaction_cooldown_s=0))
+    engine = Engine(spark, str(tmp_path / "t")).init(Policy(id_source="md5", store_path=True, tree_docs=7, shards=3, dedup_min_docs=1, compaction_cooldown_s=0))
     with pytest.raises(FileExistsError):
         Engine(spark, str(tmp_path / "t")).init()
     status = lambda df: {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
@@ -169,10 +169,13 @@ def test_engine_life(spark, tmp_path, contents):
     assert collect_garbage(engine.store) > 0
     assert {r.identity_hex for r in engine.store.docs().collect()} == before
     export_live(engine.store, str(tmp_path / "out"))
-    other = Engine(spark, str(tmp_path / "u")).init(Policy(id_source="md5"))
+    other = Engine(spark, str(tmp_path / "u")).init(Policy(id_source="md5", store_path=True))
     assert status(import_rows(other.store, str(tmp_path / "out"))) == {"inserted": len(FILES) - 1}
     both = Engine(spark, [str(tmp_path / "t"), str(tmp_path / "u")])
     assert both.search(rule, search.Options(0)).hits.filter("rule = 'beta'").count() == engine.search(rule, search.Options(0)).hits.filter("rule = 'beta'").count()
+    bare = Engine(spark, str(tmp_path / "w")).init(Policy())
+    bare.ingest(contents)
+    assert {r.external_id for r in bare.store.docs().collect()} == {None}
     with pytest.raises(ValueError, match="policies differ"):
         Engine(spark, str(tmp_path / "v")).init(Policy())
         Engine(spark, [str(tmp_path / "t"), str(tmp_path / "v")]).policy()
@@ -221,6 +224,10 @@ def test_files_and_command_line(spark, tmp_path, capsys):
     assert code == 0 and "verified_matched: 1" in text and "one.bin" in text and "tier_used: tier1+tier2" in text
     code, text = run("scan", "--rule", str(tmp_path / "r.yar"), str(tmp_path / "data"))
     assert text.strip() == f"top {data / 'one.bin'}"
+    assert run("--rule", str(tmp_path / "r.yar"), str(tmp_path / "data"))[1] == text  # a scan is what is done without a command
+    code, text = run("--perf-report", str(tmp_path / "perf.json"), "local", "info", "--root", root)
+    report = json.loads((tmp_path / "perf.json").read_text())
+    assert code == 0 and report["command"] == "info" and report["seconds"] > 0 and report["exit"] == 0
     code, text = run("rule-check", "--rule", str(tmp_path / "r.yar"), "--json")
     assert code == 0 and json.loads(text)["status"] == "searchable"
     assert json.loads(run("info", "--root", root)[1])["live_docs"] == 2
