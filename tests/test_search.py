@@ -106,6 +106,22 @@ def test_candidates_hold_all_matches(contents, grams):
     assert sizes < 0.5 * len(queries) * len(FILES)  # it does rule out
 
 
+def test_what_the_index_cannot_decide_is_kept(spark):
+    """Conditions that hold without a string, or that only a module or a header could decide, rule nothing out."""
+    contents = spark.createDataFrame([("none", bytearray(b"nothing of it")), ("abc", bytearray(b"abc"))], "external_id string, content binary")
+    docs = feature_rows(contents, Policy()).withColumn("tree", F.lit(0)).withColumn("doc_id", F.lit(0))
+    bare = docs.withColumn("meta", F.lit(None).cast(docs.schema["meta"].dataType))
+    found = lambda d, rule: {r.external_id for r in search.candidates(d, compile_source(rule), Policy(), search.Options(0)).collect()}
+    assert found(docs, 'rule r { strings: $a = "absent" condition: #a < 5 }') == {"none", "abc"}
+    assert found(docs, 'rule r { strings: $a = "absent" condition: $a or androguard.url("x") }') == {"none", "abc"}
+    assert found(docs, "rule r { strings: $a = /abc/ ascii wide condition: $a }") == {"abc"}
+    assert found(docs, 'rule r { strings: $a = "absent" condition: not $a }') == {"none", "abc"}
+    assert found(docs, "rule r { condition: not pe.is_dll }") == {"none", "abc"}
+    assert found(bare, "rule r { condition: not pe.is_pe or pe.machine == 3 }") == {"none", "abc"}
+    assert found(docs, "rule r { condition: pe.is_pe }") == set() and found(bare, "rule r { condition: pe.is_pe }") == {"none", "abc"}
+    assert found(docs, 'rule r { strings: $a = "abc" condition: not ($a or filesize > 5) and filesize == 3 }') == {"abc"}
+
+
 def test_random_literals_are_never_missed(spark):
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("abcde \n") for _ in range(rnd.randint(0, 300))) for _ in range(60)]
