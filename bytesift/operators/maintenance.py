@@ -25,18 +25,20 @@ def insert_rows(store: Store, rows: DataFrame) -> DataFrame:
     each partition of the batch has a range of its own, so none is collected. Trees hold policy.tree_docs numbers each.
     """
     policy, (state, version) = store.policy(), store.state()
-    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("identity_hex").orderBy(F.col("external_id").asc_nulls_last())))
     folder = store.new_folder("incoming")
-    first.write.parquet(f"{store.root}/{folder}")  # computed once; statuses and rows come from it
+    rows.withColumn("_row", F.monotonically_increasing_id()).write.parquet(f"{store.root}/{folder}")  # computed once; statuses and rows come from it
     batch = store.spark.read.parquet(f"{store.root}/{folder}")
+    # Copies of one content meet as partial results: equal identities have equal features, any row's will do.
+    features = [c for c in COLUMNS if c not in ("identity_hex", "external_id", *PLACE)]
+    keeper = F.min(F.struct(F.col("external_id").isNull().alias("none"), "external_id", "_row")).alias("keeper")
+    one = batch.groupBy("identity_hex").agg(F.first(F.struct(*features)).alias("f"), keeper)
     live = store.docs(state).select("identity_hex").distinct().withColumn("_live", F.lit(True))
     known = store.all_docs(state).select("identity_hex").distinct().withColumn("_known", F.lit(True))
-    marked = batch.join(live, "identity_hex", "left").join(known, "identity_hex", "left")
-    status = F.when(F.col("_live") | (F.col("_n") > 1), "already_exists").when(F.col("_known"), "restored").otherwise("inserted")
-    marked = marked.withColumn("status", status)
-    fresh = marked.filter("status <> 'already_exists'")
+    status = F.when(F.col("_live"), "already_exists").when(F.col("_known"), "restored").otherwise("inserted")
+    marked = one.join(live, "identity_hex", "left").join(known, "identity_hex", "left").withColumn("status", status)
+    fresh = marked.filter("status <> 'already_exists'").select("identity_hex", "keeper.external_id", "f.*")
     # Numbers: a row's place in its partition after the counts of the partitions before it.
-    fresh = fresh.repartition("identity_hex").sortWithinPartitions("identity_hex").withColumn("_id", F.monotonically_increasing_id())
+    fresh = fresh.sortWithinPartitions("identity_hex").withColumn("_id", F.monotonically_increasing_id())
     numbered_at = store.new_folder("incoming")
     fresh.write.parquet(f"{store.root}/{numbered_at}")
     fresh = store.spark.read.parquet(f"{store.root}/{numbered_at}")
@@ -53,7 +55,9 @@ def insert_rows(store: Store, rows: DataFrame) -> DataFrame:
     added = store.spark.read.schema(DOCS).parquet(f"{store.root}/{target}").count()
     if added:
         store.commit(state | {"docs": [*state["docs"], target], "next_doc_id": state["next_doc_id"] + added, "inserted_since_dedup": state["inserted_since_dedup"] + added}, version)
-    return marked.select("identity_hex", "external_id", "status")
+    told = marked.select("identity_hex", F.col("keeper._row").alias("_first"), "status")
+    own = F.when(F.col("_row") == F.col("_first"), F.col("status")).otherwise("already_exists")
+    return batch.select("identity_hex", "external_id", "_row").join(told, "identity_hex").select("identity_hex", "external_id", own.alias("status"))
 
 
 def insert(store: Store, contents: DataFrame) -> DataFrame:
