@@ -3,7 +3,8 @@
 With at most k differing bits over m = k // 3 + s segments, at most k // 3 segments have three or more of them; the
 other s have at most two each, which a shared Golay key survives. So each choice of s segments gives a slot, a
 fingerprint has the products of its segments' keys in each slot, and equal keys in a slot are candidates.
-Candidates are verified by their distance, and on demand by the Jaccard similarity of their shingles.
+Candidates are verified by their distance, or by the Jaccard similarity of their shingles; pairs of that similarity which
+fingerprints do not bring together are met by their rarest shingles.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ BITS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hashes whose bits are counted at once; keyed rows looked at at once; members of a key that are compared in one task.
 COUNT_HASHES, VERIFY_ROWS, BLOCK_MEMBERS = 1 << 18, 1 << 20, 1 << 14
+#: Documents in which common shingles are counted: so many at least, and this share; common shingles that are held.
+SAMPLE_DOCS, SAMPLE_SHARE, COMMON = 8192, 1 / 64, 1 << 18
 
 
 def words_of(text: Column) -> Column:
@@ -288,12 +291,113 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Data
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 14) -> DataFrame:
+def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[tuple[int, int]], keep: list[str]) -> DataFrame:
+    """The columns keep of docs (with text), n (distinct shingles) and prefix: the first of its shingles, rarest first.
+
+    Under one order of all shingles - those of `common` (hash, count) last, by count; else by hash - two sets of that similarity
+    share one within n - ceil(similarity * n) + 1 of each. Any order is right; a good one gives few candidates.
+    """
+    bounded_batches(docs.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    known = np.array(sorted(common), np.int64).reshape(-1, 2)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(len(keep))
+            n = np.diff(h.offsets.to_numpy()).astype(np.int64)
+            values = h.flatten().to_numpy(zero_copy_only=False)
+            rank = np.zeros(len(values), np.int64)
+            if len(known) and len(values):
+                at = np.minimum(np.searchsorted(known[:, 0], values), len(known) - 1)
+                rank = np.where(known[at, 0] == values, known[at, 1], 0)
+            row = np.repeat(np.arange(len(n)), n)
+            values = values[np.lexsort((values, rank, row))]
+            size = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+            own = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[own]))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n.astype(np.int32)), prefix], names=[*keep, "n", "prefix"])
+
+    sets = docs.select(*keep, words_of(F.col("text")).alias("words_")).select(*keep, F.array_distinct(shingle_hashes(F.col("words_"), shingle)).alias("s_"))
+    return sets.mapInArrow(first, ", ".join(f"{c} {types[c]}" for c in keep) + ", n int, prefix array<long>")
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> list[tuple[int, int]]:
+    """(hash, count) of shingles that recur in a sample of docs (rid, text), most frequent first, up to COMMON. Only the order of shingles hangs on them."""
+    share = min(1.0, max(SAMPLE_DOCS / max(1, docs.count()), SAMPLE_SHARE))
+    drawn = docs.filter(F.pmod(F.xxhash64("rid", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    words = drawn.select(words_of(F.col("text")).alias("words_"))
+    counts = words.select(F.explode(F.array_distinct(shingle_hashes(F.col("words_"), shingle))).alias("h")).groupBy("h").count().filter("count > 2")
+    return [(r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()]
+
+
+def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of rows with equal keys and other labels whose sets may be similar. Rows are sorted by key, then label."""
+    change = np.concatenate([[True], key[1:] != key[:-1]])
+    group = np.cumsum(change) - 1
+    end = np.append(np.flatnonzero(change)[1:], len(key))[group]
+    run = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (label[1:] != label[:-1])])) - 1
+    after = np.cumsum(np.bincount(run))[run]  # where the next label begins
+    many = end - after
+    rows = np.flatnonzero(many)
+    done = 0
+    ends = np.cumsum(many[rows])
+    while done < len(rows):
+        begin = ends[done - 1] if done else 0
+        to = max(done + 1, int(np.searchsorted(ends, begin + VERIFY_ROWS, "right")))
+        own = rows[done:to]
+        a = np.repeat(own, many[own])
+        b = np.arange(len(a)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + after[a]
+        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+        # Sets share no more than this key and what is behind it in both, if it is their first.
+        most = np.minimum(n[a] - at[a], n[b] - at[b])
+        may = (small >= similarity * large - 1e-9) & (most * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-9)
+        yield a[may], b[may]
+        done = to
+
+
+def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes with other labels that may have that similarity: none that has is missing.
+
+    docs: rid, text. heads: rid, node, label, one row a node.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in prefix_pairs(rows[0], rows[2], rows[3] >> 32, rows[3] & 0xFFFFFFFF, similarity):
+                if len(a):
+                    both = np.unique(np.sort(np.stack([rows[1][a], rows[1][b]]), axis=0), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["a", "b"])
+
+        held: list[np.ndarray] = []
+        rows = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy() for i in range(4)]))
+            rows += batch.num_rows
+            if rows < VERIFY_ROWS:
+                continue
+            now = np.concatenate(held, axis=1)
+            tail = int(np.searchsorted(now[0], now[0, -1]))  # the last key may go on
+            if tail:
+                yield from found(now[:, :tail])
+            held, rows = [now[:, tail:]], now.shape[1] - tail
+        if rows:
+            yield from found(np.concatenate(held, axis=1))
+
+    first = prefixes(docs, shingle, similarity, common_shingles(docs, shingle), ["rid"]).join(heads, "rid")
+    keyed = first.select("node", "label", "n", F.posexplode("prefix").alias("at", "key"))
+    keyed = keyed.select("key", "node", "label", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    return keyed.repartition("key").sortWithinPartitions("key", "label").mapInArrow(pairs, "a long, b long").distinct()
+
+
+def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays (null ids last; among equal ids one row).
 
-    Candidates are texts whose fingerprints over shingles of `shingle` words differ in at most max_bits; a link needs
-    a Jaccard similarity of the shingle sets of `similarity` or more. Equal texts are one node. Texts without
-    words are one group. docs must be a deterministic scan, for rows are found again by their place in it.
+    Texts link at a Jaccard similarity of their sets of shingles of `shingle` words of `similarity` or more, and a group is what
+    links connect. First links are sought along a forest of fingerprints that differ in at most max_bits; then every pair
+    that these leave in two groups is met by prefix filtering, so no link is lost and max_bits is a matter of speed.
+    Equal texts are one node. Texts without words are one group. docs must be a deterministic scan, for rows are
+    found again by their place in it.
     """
     rid = free_name(docs, "row_id")
     marked = with_row_id(docs, rid)
@@ -302,17 +406,23 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     prints = cut(fingerprints(rows, shingle, ["rid", "doc_id", "node"], sizes=True))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))
     nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size_").alias("n"), first.alias("first")))
-    # Sets whose sizes differ by more can't be so similar; what is left goes to the shingles themselves.
-    na, nb = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
-    links = candidate_links(nodes, max_bits, 1).join(na, "a").join(nb, "b")
-    links = cut(links.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b"))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    keep = nodes.join(ends, "node").select(F.col("first.rid").alias("rid"), "node")
-    sets = cut(rows.select("rid", "text").join(keep, "rid").select("node", words_of(F.col("text")).alias("words_")).select("node", F.array_distinct(shingle_hashes(F.col("words_"), shingle)).alias("s")))
-    x, y = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    alike = links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-    labels = components(alike)
+
+    def alike(links: DataFrame) -> DataFrame:
+        """Those of links (a, b) whose shingle sets are similar enough."""
+        # Sets whose sizes differ by more can't be so similar; what is left goes to the shingles themselves.
+        na, nb = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+        links = links.join(na, "a").join(nb, "b")
+        links = cut(links.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b"))
+        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+        keep = nodes.join(ends, "node").select(F.col("first.rid").alias("rid"), "node")
+        sets = cut(rows.select("rid", "text").join(keep, "rid").select("node", words_of(F.col("text")).alias("words_")).select("node", F.array_distinct(shingle_hashes(F.col("words_"), shingle)).alias("s")))
+        x, y = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return cut(links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+    near = alike(candidate_links(nodes, max_bits, 1))
+    heads = nodes.join(components(near), "node", "left").select(F.col("first.rid").alias("rid"), "node", F.coalesce("label", "node").alias("label"))
+    labels = components(near.unionByName(alike(prefix_links(rows.select("rid", "text"), cut(heads), shingle, similarity))))
     labelled = cut(nodes.join(labels, "node", "left").select("first", F.coalesce("label", "node").alias("label")))
     stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias(rid))
     return marked.join(stay, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

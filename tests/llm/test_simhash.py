@@ -142,3 +142,40 @@ def test_one_of_each_group_stays(spark):
     got = simhash.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string, row_id string"))
     assert got.columns == ["doc_id", "text", "row_id"]
     assert sorted(r.doc_id for r in got.collect()) == [4, 7, 8, 9, 10]
+
+
+def brute_stay(rows, shingle=5, similarity=0.8):
+    """The ids that stay among (id, text), and the least ids of their groups, by comparing all sets."""
+    sets = []
+    for _, text in rows:
+        w = [x.lower() for x in text.split()]
+        sets.append({" ".join(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))})
+    label = {i: i for i, _ in rows}
+    for i, (x, _) in enumerate(rows):
+        for j, (y, _) in enumerate(rows[:i]):
+            common = len(sets[i] & sets[j])
+            if common >= similarity * (len(sets[i]) + len(sets[j]) - common) and label[x] != label[y]:
+                gone, to = max(label[x], label[y]), min(label[x], label[y])
+                label = {k: to if v == gone else v for k, v in label.items()}
+    return sorted(set(label.values()))
+
+
+def versions(rng, words, count, edits):
+    """Versions of words with single words changed: as many as edits says, drawn for each."""
+    out = []
+    for k in range(count):
+        other = list(words)
+        for at in rng.choice(len(words), rng.integers(*edits), replace=False):
+            other[at] = f"x{k}y{at}"
+        out.append(" ".join(other))
+    return out
+
+
+def test_versions_around_the_threshold_are_all_compared(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for count in (3, 20, 60, 100):
+        words = [f"w{i}" for i in rng.integers(0, 9000, 300)]
+        rows += [(len(rows) + i, t) for i, t in enumerate(versions(rng, words, count, (2, 9)))]
+    got = simhash.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == brute_stay(rows)
