@@ -179,3 +179,16 @@ def test_versions_around_the_threshold_are_all_compared(spark):
         rows += [(len(rows) + i, t) for i, t in enumerate(versions(rng, words, count, (2, 9)))]
     got = simhash.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == brute_stay(rows)
+
+
+def test_pairs_beyond_the_bits_are_found(spark):
+    rng = np.random.default_rng(9)
+    rows, far = [], 0
+    while far < 4:
+        words = [f"w{i}" for i in rng.integers(0, 9000, 300)]
+        pair = [" ".join(words), versions(rng, words, 1, (5, 7))[0]]
+        if bin(brute_print(pair[0], 5) ^ brute_print(pair[1], 5)).count("1") >= 15:
+            rows += [(len(rows) + i, t) for i, t in enumerate(pair)]
+            far += 1
+    got = simhash.near_duplicates_dropped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == brute_stay(rows) == [0, 2, 4, 6]
