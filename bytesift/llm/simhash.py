@@ -61,7 +61,7 @@ def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int, keep: list[str], sizes: bool = False) -> DataFrame:
-    """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0. sizes: and size_, the number of distinct shingles."""
+    """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0. sizes: of distinct shingles, and size_, their number."""
     bounded_batches(docs.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"size_": "int"}
 
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, shingle: int, keep: list[str], sizes: bool = F
 
     hashed = docs.select(*keep, words_of(F.col("text")).alias("words_")).select(*keep, shingle_hashes(F.col("words_"), shingle).alias("hashes_"))
     if sizes:
-        hashed = hashed.select(*keep, F.size(F.array_distinct("hashes_")).alias("size_"), "hashes_")
+        hashed = hashed.select(*keep, F.array_distinct("hashes_").alias("hashes_")).select(*keep, F.size("hashes_").alias("size_"), "hashes_")
         keep = [*keep, "size_"]
     return hashed.mapInArrow(prints, ", ".join(f"{c} {types[c]}" for c in keep) + ", fp long")
 
