@@ -262,6 +262,17 @@ def test_additive_quantisation_recall_and_scores(spark):
     assert hit / (150 * 20) >= 0.9
 
 
+def test_copies_of_a_vector_keep_the_smallest_ids(spark):
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(500, 8)).round(3)
+    v[rng.choice(np.arange(1, 500), 200, replace=False)] = v[0]
+    rows = [(int(i), v[i].tolist()) for i in rng.permutation(500)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i == 0, k=20, rerank=40).orderBy("rank").collect()
+    exact = v @ v[0]
+    want = sorted((i for i in range(1, 500)), key=lambda i: (-round(exact[i], 9), i))[:20]
+    assert [r.vec_id for r in got] == want
+
+
 def test_beam_search_is_no_worse_than_greedy():
     rng = np.random.default_rng(6)
     x = ann.directions(rng.normal(size=(600, 16)))[0]
