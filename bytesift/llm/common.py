@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python; whole texts travel in them, so it is kept small.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch handed to Python; whole texts travel in them, and a longer text travels alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 #: What separates words in the contracts: space, tab, LF, VT, FF, CR.
 SPACES = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACES}]+"
@@ -44,11 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lowers the session's Arrow batch size; a batch of whole texts then stays in tens of MB."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+    """Lowers the session's Arrow batches to so many rows and to BATCH_BYTES; smaller settings stay as they are."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def with_row_id(df: DataFrame, name: str) -> DataFrame:

@@ -14,69 +14,64 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm import golay
-from bytesift.llm.common import SPACES, bounded_batches, cut, free_name, with_row_id
+from bytesift.llm import golay, shingles
+from bytesift.llm.common import bounded_batches, cut, free_name, with_row_id
 
 BITS = 64
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Hashes whose bits are counted at once; keyed rows looked at at once; members of a key that are compared in one task.
-COUNT_HASHES, VERIFY_ROWS, BLOCK_MEMBERS = 1 << 18, 1 << 20, 1 << 14
+#: Keyed rows looked at at once; members of a key that are compared in one task.
+VERIFY_ROWS, BLOCK_MEMBERS = 1 << 20, 1 << 14
+#: Row ids, of eight bytes each, that are broadcast at most.
+BROADCAST_IDS = 1 << 21
 #: Documents in which common shingles are counted: so many at least, and this share; common shingles that are held.
 SAMPLE_DOCS, SAMPLE_SHARE, COMMON = 8192, 1 / 64, 1 << 18
 
 
-def words_of(text: Column) -> Column:
-    """The words between ASCII white space, with A-Z in lower case; null text: none."""
-    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), f"[{SPACES}]+"), lambda w: w != "")
-
-
-def shingle_hashes(words: Column, n: int) -> Column:
-    """XXH64 with seed 42 of each run of n words; of all words if they are fewer; none without words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1)))
-    return F.when(F.size(words) == 0, F.array().cast("array<long>")).otherwise(F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice(words, i, n)))))
-
-
-def majority(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The fingerprint of each run of hashes: a bit is 1 if set in over half of the run."""
-    out = np.zeros(len(lengths), np.uint64)
-    ends = np.cumsum(lengths)
-    i = 0
-    while i < len(lengths):
-        begin = ends[i] - lengths[i]
-        j = max(i + 1, int(np.searchsorted(ends, begin + COUNT_HASHES, "right")))
-        ones = np.zeros((j - i, BITS), np.int64)
-        run = np.repeat(np.arange(j - i), lengths[i:j])
-        for a in range(begin, ends[j - 1], COUNT_HASHES):
-            b = min(a + COUNT_HASHES, ends[j - 1])
-            own = run[a - begin : b - begin]
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            bits = np.unpackbits(np.ascontiguousarray(hashes[a:b]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones[own[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        out[i:j] = np.packbits(2 * ones > lengths[i:j, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        i = j
-    return out
+def _each(texts: pa.Array, shingle: int, sets: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """Run by run of texts: hashes, the number of them in each text, digests; with sets the hashes are sorted and without repeats."""
+    for hashes, many, marks in shingles.shingles(texts, shingle, digest=sets):
+        yield (*(shingles.distinct(hashes, many) if sets else (hashes, many)), marks)
+
 
+def fingerprints(docs: DataFrame, shingle: int, keep: list[str], sets: bool = False) -> DataFrame:
+    """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0.
 
-def fingerprints(docs: DataFrame, shingle: int, keep: list[str], sizes: bool = False) -> DataFrame:
-    """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0. sizes: of distinct shingles, and size_, their number."""
+    sets: fingerprints are of distinct shingles, n is their number, and mark tells the words of a text from those of others.
+    """
     bounded_batches(docs.sparkSession)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields} | {"size_": "int"}
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [*keep, "fp", *(["n", "mark"] if sets else [])]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column(len(keep))
-            lengths = np.diff(h.offsets.to_numpy())
-            fp = majority(h.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lengths.astype(np.int64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(fp)], names=[*keep, "fp"])
+            parts = [(shingles.majority(h, n), n, marks) for h, n, marks in _each(b.column(len(keep)), shingle, sets)]
+            fp = np.concatenate([p for p, _, _ in parts]) if parts else np.zeros(0, np.uint64)
+            out = [*(b.column(i) for i in range(len(keep))), pa.array(fp.view(np.int64))]
+            if sets:
+                out += [pa.array([x for _, n, _ in parts for x in n.tolist()], pa.int32()), pa.array([m for _, _, marks in parts for m in marks], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=names)
+
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    return docs.select(*keep, text).mapInArrow(prints, ", ".join(f"{c} {types[c]}" for c in keep) + ", fp long" + ", n int, mark binary" * sets)
 
-    hashed = docs.select(*keep, words_of(F.col("text")).alias("words_")).select(*keep, shingle_hashes(F.col("words_"), shingle).alias("hashes_"))
-    if sizes:
-        hashed = hashed.select(*keep, F.array_distinct("hashes_").alias("hashes_")).select(*keep, F.size("hashes_").alias("size_"), "hashes_")
-        keep = [*keep, "size_"]
-    return hashed.mapInArrow(prints, ", ".join(f"{c} {types[c]}" for c in keep) + ", fp long")
+
+def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """The columns keep of docs (with text) and s, the hashes of the text's distinct shingles."""
+    bounded_batches(docs.sparkSession)
+    types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = 0
+            for h, n, _ in _each(b.column(len(keep)), shingle, True):
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(done, len(n)) for i in range(len(keep))), own], names=[*keep, "s"])
+                done += len(n)
+
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    return docs.select(*keep, text).mapInArrow(sets, ", ".join([*(f"{c} {types[c]}" for c in keep), "s array<long>"]))
 
 
 def slots(max_bits: int, chosen: int) -> tuple[list[tuple[int, int]], list[tuple[int, ...]]]:
@@ -291,6 +286,21 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Data
     return prints.join(of, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _ranks(values: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The count of each value in common (rows hash, count, sorted by hash; seen: a bit for each value of their low bits), or 0."""
+    out = np.zeros(len(values), np.int64)
+    may = np.flatnonzero(seen[(values & np.uint64(len(seen) - 1)).astype(np.int64)])
+    if len(may):
+        at = np.minimum(np.searchsorted(common[0], values[may]), common.shape[1] - 1)
+        out[may] = np.where(common[0][at] == values[may], common[1][at], 0).astype(np.int64)
+    return out
+
+
+def prefix_size(n, similarity: float):
+    """How many shingles of a set of n are enough to meet any set of that similarity, whatever the order of all shingles."""
+    return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+
+
 def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[tuple[int, int]], keep: list[str]) -> DataFrame:
     """The columns keep of docs (with text), n (distinct shingles) and prefix: the first of its shingles, rarest first.
 
@@ -299,40 +309,36 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[tupl
     """
     bounded_batches(docs.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    known = np.array(sorted(common), np.int64).reshape(-1, 2)
+    known = np.array(sorted((h & (1 << 64) - 1, c) for h, c in common), np.uint64).reshape(-1, 2).T.copy()
+    seen = np.zeros(1 << 22, bool)
+    seen[(known[0] & np.uint64(len(seen) - 1)).astype(np.int64)] = True
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h = b.column(len(keep))
-            n = np.diff(h.offsets.to_numpy()).astype(np.int64)
-            values = h.flatten().to_numpy(zero_copy_only=False)
-            rank = np.zeros(len(values), np.int64)
-            if len(known) and len(values):
-                at = np.minimum(np.searchsorted(known[:, 0], values), len(known) - 1)
-                rank = np.where(known[at, 0] == values, known[at, 1], 0)
-            row = np.repeat(np.arange(len(n)), n)
-            values = values[np.lexsort((values, rank, row))]
-            size = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-            own = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
-            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(values[own]))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(keep))), pa.array(n.astype(np.int32)), prefix], names=[*keep, "n", "prefix"])
-
-    sets = docs.select(*keep, words_of(F.col("text")).alias("words_")).select(*keep, F.array_distinct(shingle_hashes(F.col("words_"), shingle)).alias("s_"))
-    return sets.mapInArrow(first, ", ".join(f"{c} {types[c]}" for c in keep) + ", n int, prefix array<long>")
+            done = 0
+            for h, n, _ in _each(b.column(len(keep)), shingle, True):
+                row = np.repeat(np.arange(len(n)), n)
+                h = h[np.argsort(row << 32 | _ranks(h, known, seen), kind="stable")]
+                size = prefix_size(n, similarity)
+                own = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(size, n)
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(h[own].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(done, len(n)) for i in range(len(keep))), pa.array(n, pa.int32()), prefix], names=[*keep, "n", "prefix"])
+                done += len(n)
+
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    return docs.select(*keep, text).mapInArrow(first, ", ".join(f"{c} {types[c]}" for c in keep) + ", n int, prefix array<long>")
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> list[tuple[int, int]]:
     """(hash, count) of shingles that recur in a sample of docs (rid, text), most frequent first, up to COMMON. Only the order of shingles hangs on them."""
     share = min(1.0, max(SAMPLE_DOCS / max(1, docs.count()), SAMPLE_SHARE))
     drawn = docs.filter(F.pmod(F.xxhash64("rid", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    words = drawn.select(words_of(F.col("text")).alias("words_"))
-    counts = words.select(F.explode(F.array_distinct(shingle_hashes(F.col("words_"), shingle))).alias("h")).groupBy("h").count().filter("count > 2")
+    counts = shingle_sets(drawn, shingle, []).select(F.explode("s").alias("h")).groupBy("h").count().filter("count > 2")
     return [(r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()]
 
 
-def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (a, b) of rows with equal keys and other labels whose sets may be similar. Rows are sorted by key, then label."""
+def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of rows with equal keys and other labels whose sizes allow for that similarity. Rows are sorted by key, then label."""
     change = np.concatenate([[True], key[1:] != key[:-1]])
     group = np.cumsum(change) - 1
     end = np.append(np.flatnonzero(change)[1:], len(key))[group]
@@ -340,20 +346,13 @@ def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarr
     after = np.cumsum(np.bincount(run))[run]  # where the next label begins
     many = end - after
     rows = np.flatnonzero(many)
-    done = 0
-    ends = np.cumsum(many[rows])
-    while done < len(rows):
-        begin = ends[done - 1] if done else 0
-        to = max(done + 1, int(np.searchsorted(ends, begin + VERIFY_ROWS, "right")))
-        own = rows[done:to]
+    ends = np.concatenate([[0], np.cumsum(many[rows])])
+    for i, j in shingles.runs(ends, VERIFY_ROWS):
+        own = rows[i:j]
         a = np.repeat(own, many[own])
         b = np.arange(len(a)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + after[a]
-        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        # Sets share no more than this key and what is behind it in both, if it is their first.
-        most = np.minimum(n[a] - at[a], n[b] - at[b])
-        may = (small >= similarity * large - 1e-9) & (most * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-9)
+        may = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
         yield a[may], b[may]
-        done = to
 
 
 def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -364,10 +363,21 @@ def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: fl
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in prefix_pairs(rows[0], rows[2], rows[3] >> 32, rows[3] & 0xFFFFFFFF, similarity):
-                if len(a):
-                    both = np.unique(np.sort(np.stack([rows[1][a], rows[1][b]]), axis=0), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["a", "b"])
+            key, node, other, place = rows
+            n, at = place >> 32, place & 0xFFFFFFFF
+            for a, b in prefix_pairs(key, node ^ other, n, similarity):
+                if not len(a):
+                    continue
+                a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
+                # Sets share no more than this key and what is behind it in both, if it is their first.
+                first = np.minimum(n[a] - at[a], n[b] - at[b]) * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-9
+                order = np.lexsort((node[b], node[a]))
+                a, b, first = a[order], b[order], first[order]
+                begin = np.flatnonzero(np.concatenate([[True], (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])]))
+                shared = np.diff(np.append(begin, len(a)))
+                x, y = a[begin], b[begin]
+                out = (node[x], node[y], n[x].astype(np.int32), n[y].astype(np.int32), shared.astype(np.int32), np.logical_or.reduceat(first, begin))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "na", "nb", "shared", "first"])
 
         held: list[np.ndarray] = []
         rows = 0
@@ -385,9 +395,21 @@ def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: fl
             yield from found(np.concatenate(held, axis=1))
 
     first = prefixes(docs, shingle, similarity, common_shingles(docs, shingle), ["rid"]).join(heads, "rid")
-    keyed = first.select("node", "label", "n", F.posexplode("prefix").alias("at", "key"))
-    keyed = keyed.select("key", "node", "label", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
-    return keyed.repartition("key").sortWithinPartitions("key", "label").mapInArrow(pairs, "a long, b long").distinct()
+    # Most labels are the node itself; as a difference they cost next to nothing.
+    keyed = first.select("node", F.col("node").bitwiseXOR(F.col("label")).alias("other"), "n", F.posexplode("prefix").alias("at", "key"))
+    keyed = keyed.select("key", "node", "other", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
+    sorted_ = keyed.repartition("key").sortWithinPartitions("key", F.col("node").bitwiseXOR(F.col("other")))
+    met = sorted_.mapInArrow(pairs, "a long, b long, na int, nb int, shared int, first boolean")
+    met = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("first").alias("first"))
+    # Whichever prefix ends first, what two sets share is in both prefixes or behind the end of that one.
+    behind = lambda n: F.ceil(F.lit(similarity) * n - 1e-9) - 1
+    most = F.col("shared") + F.greatest(behind(F.col("na")), behind(F.col("nb")))
+    return met.filter("first").filter(most * (1 + similarity) >= F.lit(similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+
+
+def _to_texts(ids: DataFrame) -> DataFrame:
+    """ids (eight bytes a row, computed), sent to all texts as long as they are few; beyond, the texts meet them in a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
@@ -396,16 +418,16 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     Texts link at a Jaccard similarity of their sets of shingles of `shingle` words of `similarity` or more, and a group is what
     links connect. First links are sought along a forest of fingerprints that differ in at most max_bits; then every pair
     that these leave in two groups is met by prefix filtering, so no link is lost and max_bits is a matter of speed.
-    Equal texts are one node. Texts without words are one group. docs must be a deterministic scan, for rows are
-    found again by their place in it.
+    Texts with equal words are one node, told apart by 128 bits. Null texts and texts without words are one group. Very long
+    texts are read whole. Repeated rows are one node too, and one of them stays. No rows give no rows. docs must be a
+    deterministic scan, for rows are found again by their place in it; its columns may have any names.
     """
     rid = free_name(docs, "row_id")
     marked = with_row_id(docs, rid)
-    text = F.array_join(words_of(F.col("text")), " ")
-    rows = marked.select(F.col(rid).alias("rid"), "doc_id", text.alias("text")).withColumn("node", F.xxhash64("text"))
-    prints = cut(fingerprints(rows, shingle, ["rid", "doc_id", "node"], sizes=True))
+    rows = marked.select(F.col(rid).alias("rid"), "doc_id", F.col("text"))
+    prints = cut(fingerprints(rows, shingle, ["rid", "doc_id"], sets=True))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))
-    nodes = cut(prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("size_").alias("n"), first.alias("first")))
+    nodes = cut(prints.groupBy("mark").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), first.alias("first")).select(F.col("first.rid").alias("node"), "fp", "n", "first"))
 
     def alike(links: DataFrame) -> DataFrame:
         """Those of links (a, b) whose shingle sets are similar enough."""
@@ -413,16 +435,16 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
         na, nb = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
         links = links.join(na, "a").join(nb, "b")
         links = cut(links.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b"))
-        ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-        keep = nodes.join(ends, "node").select(F.col("first.rid").alias("rid"), "node")
-        sets = cut(rows.select("rid", "text").join(keep, "rid").select("node", words_of(F.col("text")).alias("words_")).select("node", F.array_distinct(shingle_hashes(F.col("words_"), shingle)).alias("s")))
-        x, y = (sets.select(F.col("node").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        ends = cut(links.select(F.col("a").alias("rid")).union(links.select("b")).distinct())
+        sets = cut(shingle_sets(rows.join(_to_texts(ends), "rid", "left_semi"), shingle, ["rid"]))
+        x, y = (sets.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
         return cut(links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
-    near = alike(candidate_links(nodes, max_bits, 1))
-    heads = nodes.join(components(near), "node", "left").select(F.col("first.rid").alias("rid"), "node", F.coalesce("label", "node").alias("label"))
+    near = alike(candidate_links(nodes, max_bits, 2))
+    heads = nodes.join(components(near), "node", "left").select(F.col("node").alias("rid"), "node", F.coalesce("label", "node").alias("label"))
     labels = components(near.unionByName(alike(prefix_links(rows.select("rid", "text"), cut(heads), shingle, similarity))))
     labelled = cut(nodes.join(labels, "node", "left").select("first", F.coalesce("label", "node").alias("label")))
-    stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias(rid))
-    return marked.join(stay, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
+    gone = cut(prints.select("rid").join(stay, "rid", "left_anti")).withColumnRenamed("rid", rid)
+    return marked.join(_to_texts(gone), rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -200,6 +200,6 @@ def test_fingerprints_of_sets_count_a_repeated_line_once(spark):
     line = [f"v{i}" for i in range(8)]
     texts = [" ".join(words + line), " ".join(words + line * 20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    a, b = (r.fp & (1 << 64) - 1 for r in simhash.fingerprints(docs, 5, ["doc_id"], sizes=True).orderBy("doc_id").collect())
+    a, b = (r.fp & (1 << 64) - 1 for r in simhash.fingerprints(docs, 5, ["doc_id"], sets=True).orderBy("doc_id").collect())
     assert bin(a ^ b).count("1") <= 8 < bin(brute_print(texts[0], 5) ^ brute_print(texts[1], 5)).count("1")
     assert [r.doc_id for r in simhash.near_duplicates_dropped(docs).collect()] == [0]
