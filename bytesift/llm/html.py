@@ -1,9 +1,10 @@
 """Main text of web pages: parser events, text-to-tag ratio of lines, Gaussian smoothing, threshold clustering.
 
 The standard library's parser streams events. They build lines, one for each block of text, with the number of characters
-and of tags in it. Lines within elements that never hold an article's text (menus, forms, notices, reader comments and so on, by
-element, role and class) are set aside. Of the others the ratio of text to tags is smoothed over the neighbours, a
-threshold parts the smoothed ratios in two clusters, and the regions with lines in the upper one are the content, whole.
+and of tags in it. Elements that HTML has for menus, forms, footers and the like hold no lines. The ratios of text to tags
+are smoothed over the neighbours and weighed by what the page says of a line: more in an article or main element, less
+where class or id speak of adverts, notices, comments and so on. A threshold parts the weighed ratios in two clusters, and
+the regions with lines in the upper one are the content, whole.
 """
 
 from __future__ import annotations
@@ -26,20 +27,18 @@ NEVER = frozenset("script style noscript template head title nav footer aside fo
 ARTICLE = frozenset(["article", "main"])
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar tablist".split())
 WORDS = frozenset(
-    "nav navbar navigation navi menu menus topbar sidebar sidebars sidenav rail footer foot colophon masthead breadcrumb breadcrumbs pagination pager pagenav toolbar "
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot banner banners sponsor sponsors sponsored promo promos promotion promoted teaser outbrain taboola "
-    "cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup signin login register paywall disclaimer "
-    "share sharing social socials related recommended recommendations trending popular widget widgets tags "
-    "comment comments commentlist reply replies respond disqus discussion feedback form search searchbox skip".split()
+    "nav navbar navigation menu menus topbar sidebar sidebars footer breadcrumb breadcrumbs pagination toolbar "
+    "ad ads advert adverts advertisement banner sponsor sponsored promo teaser cookie cookies consent notice notices alert popup modal overlay "
+    "newsletter subscribe signup login paywall share social related recommended widget comment comments reply replies discussion feedback form search skip".split()
 )
-#: Words that set an element aside only outside an article, where they name the page's own parts.
-OUTER_WORDS = frozenset(["header", "head", "top", "bottom", "logo", "copyright", "copy", "legal"])
-#: Lines over which ratios are smoothed (standard deviation).
-SIGMA = 1.5
+#: Words that speak against an element only outside an article, where they name the page's own parts.
+OUTER_WORDS = frozenset(["header", "head", "top", "bottom", "logo", "copyright", "legal"])
 #: First words of class names that tell what a wrapper has around it, not what it is (has-sidebar, page-header-fixed).
 ABOUT = frozenset("has with no without is not js layout page body theme site wrapper".split())
-#: Words by which even an article is a reader's comment.
-COMMENT_WORDS = frozenset("comment comments reply replies".split())
+#: Lines over which ratios are smoothed (standard deviation).
+SIGMA = 1.5
+#: How much more a line counts in an article or main element, and how much less where class or id speak against it.
+MARKED, SUSPECT = 4.0, 64.0
 #: Share of a line's characters in links from which it is no text, outside articles.
 LINKED = 0.6
 
@@ -55,35 +54,35 @@ def _words(value: str | None) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Parser events -> lines: (text, characters, tags, region, in an article, characters in links)."""
+    """Parser events -> lines: (text, characters, tags, region, outermost article or 0, whether class or id speak against it, characters in links)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool]] = []  # element, whether it is set aside, whether it is an article
-        self.aside = self.articles = 0
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # element, whether it is set aside, is an article, is spoken against
+        self.aside = self.articles = self.suspects = self.article = 0
         self.parts: list[str] = []
         self.tags = self.regions = 0
         self.region = [0]
         self.links = self.linked = 0
-        self.lines: list[tuple[str, int, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, bool, int]] = []
 
-    def _is_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _is_aside(self, tag: str, own: dict[str, str | None]) -> bool:
         if tag in NEVER or tag == "header" and not self.articles:
             return True
+        if tag in ("html", "body", *ARTICLE):
+            return False
+        return "hidden" in own or (own.get("aria-hidden") or "").lower() == "true" or (own.get("role") or "").lower() in ROLES
+
+    def _is_suspect(self, tag: str, own: dict[str, str | None]) -> bool:
         if tag in ("html", "body", "main"):
             return False
-        own = dict(attrs)
-        if tag == "article":
-            return bool((_words(own.get("class")) | _words(own.get("id"))) & COMMENT_WORDS)
-        if "hidden" in own or (own.get("aria-hidden") or "").lower() == "true" or (own.get("role") or "").lower() in ROLES:
-            return True
         words = _words(own.get("class")) | _words(own.get("id"))
         return bool(words & WORDS) or not self.articles and bool(words & OUTER_WORDS)
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, len(text), max(1, self.tags), self.region[-1], self.articles > 0, self.linked))
+            self.lines.append((text, len(text), max(1, self.tags), self.region[-1], self.article if self.articles else 0, self.suspects > 0, self.linked))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -98,11 +97,15 @@ class Lines(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        aside = bool(self.aside) or self._is_aside(tag, attrs)
-        article = tag in ARTICLE or any(k == "role" and v == "main" or k == "itemprop" and v == "articleBody" for k, v in attrs)
-        self.stack.append((tag, aside, article))
+        own = dict(attrs)
+        aside = bool(self.aside) or self._is_aside(tag, own)
+        article = tag in ARTICLE or own.get("role") == "main" or own.get("itemprop") == "articleBody"
+        suspect = self._is_suspect(tag, own)
+        self.stack.append((tag, aside, article, suspect))
         self.aside += aside
+        self.article += article and not self.articles
         self.articles += article
+        self.suspects += suspect
         self.links += tag == "a"
         if tag in ("body", "div", "section", "article", "main", "td", "center", "blockquote"):
             self.regions += 1
@@ -112,9 +115,10 @@ class Lines(HTMLParser):
         self.handle_starttag(tag, attrs)  # HTML ignores the slash but on void elements
 
     def _pop(self) -> str:
-        tag, aside, article = self.stack.pop()
+        tag, aside, article, suspect = self.stack.pop()
         self.aside -= aside
         self.articles -= article
+        self.suspects -= suspect
         self.links -= tag == "a"
         if tag in ("body", "div", "section", "article", "main", "td", "center", "blockquote"):
             self.region.pop()
@@ -170,26 +174,37 @@ def threshold(values: np.ndarray) -> float:
     return t
 
 
-def main_text(html: str | None) -> str:
-    """The article of a page, one block a line; empty if there is none."""
+def upper_cluster(lines: list[tuple], clusters: bool = True) -> np.ndarray:
+    """Whether each line lies in the upper cluster, by its weighed ratio smoothed or by itself. Without clusters all do."""
+    if not clusters:
+        return np.ones(len(lines), bool)
+    ratio = np.array([chars / tags for _, chars, tags, *_ in lines])
+    weight = np.array([(MARKED if article else 1) / (SUSPECT if suspect else 1) for *_, article, suspect, _ in lines])
+    # A dense line is content even where menus beside it lower its smoothed ratio.
+    value, alone = smoothed(ratio) * weight, ratio * weight
+    return (value >= threshold(value)) | (alone >= threshold(alone))
+
+
+def main_text(html: str | None, clusters: bool = True) -> str:
+    """The article of a page, one block a line; empty if there is none. clusters=False keeps what the clusters would leave out, for comparison."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([n / tags for _, n, tags, *_ in lines])
-    value = smoothed(ratio)
-    # A dense line is content even where menus beside it lower its smoothed ratio.
-    upper = np.flatnonzero((value >= threshold(value)) | (ratio >= threshold(ratio)))
-    if any(line[4] for line in lines):
-        # The page marks its article: the upper cluster's regions in it stand for the whole of it.
-        chosen = [line[4] for line in lines]
-    else:
-        # The upper cluster from its first to its last line, and the rest of its regions; but no lists of links.
-        regions = {lines[i][3] for i in upper}
-        chosen = [(upper[0] <= i <= upper[-1] or line[3] in regions) and line[5] <= LINKED * line[1] for i, line in enumerate(lines)]
-    return "\n".join(line[0] for line, own in zip(lines, chosen) if own)
+    upper = upper_cluster(lines, clusters)
+    at = np.flatnonzero(upper)
+    regions = {lines[i][3] for i in at}
+    articles = {lines[i][4] for i in at} - {0}
+    out = []
+    for i, (text, chars, _, region, article, suspect, linked) in enumerate(lines):
+        # A region with upper lines is content as a whole, and so are an article around them and what lies between them,
+        # but for what class or id speak against; outside articles lists of links are none.
+        whole = region in regions or not suspect and (article in articles or at[0] <= i <= at[-1])
+        if whole and (article or linked <= LINKED * chars):
+            out.append(text)
+    return "\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:
