@@ -310,12 +310,46 @@ def test_exact_top_k(spark, scale):
     ints = [[int(np.floor(1024 * v)) for v in row] for row in x]
     limit = np.iinfo(np.int64)
     for q in range(0, 900, 50):
-        s = [min(max(sum(a * b for a, b in zip(ints[q], v)), limit.min + 1), limit.max) for v in ints]
+        s = [min(max(sum(a * b for a, b in zip(ints[q], v)), limit.min), limit.max) for v in ints]
         want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:10]
         own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
         assert [(r.vec_id, r.score) for r in own] == [(i, s[i]) for i in want]
 
 
+def test_bounds_spare_most_products_of_unit_vectors():
+    rng = np.random.default_rng(12)
+    x = np.concatenate([ann.directions(rng.normal(size=(6000, 64)))[0], ann.directions(rng.normal(size=(2000, 64)) * np.linspace(3, 0.1, 64))[0]])
+    x = np.floor(1024 * x)
+    q, tie = x[::80], np.arange(len(x))
+    turn, stops = topk.rotation(x[::16])
+    for floor in (None, topk.floors(q, x[::16], 10, 1.0)):
+        u, v, score, work = topk.top_k(q, x, tie, 10, turn, stops, 1.0, floor)
+        s = (q @ x.T).astype(np.int64)
+        for i in range(len(q)):
+            want = np.lexsort((tie, -s[i]))[:10]
+            assert v[u == i].tolist() == want.tolist() and score[u == i].tolist() == s[i][want].tolist()
+        assert work["products"] < work["pairs"] / 3 and work["terms"] < work["pairs"] * 64
+    assert len(stops) >= 3 and work["products"] < work["pairs"] / 20
+
+
+def test_huge_components_are_whole_numbers_too(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(60, 4)).round(3)
+    x[7] *= 1e306
+    x[8], x[9], x[10] = [1e200, 0, 0, 1], [-1e200, 0, 0, 2], [0, 0, 1e-300, -3]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.search(df, lambda i: i < 12, k=5).collect()
+    ints = [[int(v) * 1024 if abs(v) > 2**53 else int(np.floor(1024 * v)) for v in row] for row in x]
+    limit = np.iinfo(np.int64)
+    for q in range(12):
+        s = [min(max(sum(a * b for a, b in zip(ints[q], v)), limit.min), limit.max) for v in ints]
+        want = sorted((i for i in range(60) if i != q), key=lambda i: (-s[i], i))[:5]
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [(r.vec_id, r.score) for r in own] == [(i, s[i]) for i in want]
+    near = ann.search(df, lambda i: i < 12, k=5).collect()
+    assert {r.query_id for r in near} == set(range(12))
+
+
 # --- language ---
 
 WORDS = {"en": "the of and to in that with this from have", "de": "der die und nicht für über eine schön werden auf", "fr": "le les des une être très déjà pour avec dans"}
