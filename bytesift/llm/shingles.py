@@ -153,6 +153,20 @@ def distinct(hashes: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(parts) if parts else hashes, np.array([len(p) for p in parts], np.int64)
 
 
+def parities(hashes: np.ndarray, many: np.ndarray, bits: int) -> np.ndarray:
+    """(text, byte) bitmaps of runs of different hashes: a bit is 1 if an odd number of the hashes fall on it.
+
+    Each hash that only one of two texts has turns one bit, so bitmaps differ in no more bits than there are such hashes.
+    """
+    out = np.zeros((len(many), bits // 8), np.uint8)
+    ends = np.concatenate([[0], np.cumsum(many)])
+    for x in range(0, len(many), 256):
+        y = min(x + 256, len(many))
+        at = np.repeat(np.arange(y - x) * bits, many[x:y]) + (hashes[ends[x] : ends[y]] >> np.uint64(64 - (bits - 1).bit_length())).astype(np.int64)
+        out[x:y] = np.packbits(np.bincount(at, minlength=(y - x) * bits).reshape(y - x, bits) & 1, axis=1, bitorder="little")
+    return out
+
+
 def majority(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The fingerprint of each run of hashes: a bit is 1 if set in over half of the run; 0 for an empty run."""
     out = np.zeros(len(many), np.uint64)

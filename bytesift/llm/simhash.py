@@ -25,8 +25,10 @@ BITS = 64
 VERIFY_ROWS, BLOCK_MEMBERS = 1 << 20, 1 << 14
 #: Row ids, of eight bytes each, that are broadcast at most.
 BROADCAST_IDS = 1 << 21
-#: Documents in which common shingles are counted: so many at least, and this share; common shingles that are held.
-SAMPLE_DOCS, SAMPLE_SHARE, COMMON = 8192, 1 / 64, 1 << 18
+#: Bits of the bitmaps that tell how many shingles two texts don't share, at least.
+PARITY = 1024
+#: Shingles that a task counts at once, and common shingles that are held at most.
+COUNTED, COMMON = 1 << 22, 1 << 18
 
 
 def _each(texts: pa.Array, shingle: int, sets: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -38,23 +40,25 @@ def _each(texts: pa.Array, shingle: int, sets: bool) -> Iterator[tuple[np.ndarra
 def fingerprints(docs: DataFrame, shingle: int, keep: list[str], sets: bool = False) -> DataFrame:
     """The columns keep of docs (with text) and fp, the fingerprint as a signed long. No words: 0.
 
-    sets: fingerprints are of distinct shingles, n is their number, and mark tells the words of a text from those of others.
+    sets: fingerprints are of distinct shingles, n is their number, parity a bitmap of them, and mark tells the words of a
+    text from those of others.
     """
     bounded_batches(docs.sparkSession)
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names = [*keep, "fp", *(["n", "mark"] if sets else [])]
+    names = [*keep, "fp", *(["n", "parity", "mark"] if sets else [])]
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [(shingles.majority(h, n), n, marks) for h, n, marks in _each(b.column(len(keep)), shingle, sets)]
-            fp = np.concatenate([p for p, _, _ in parts]) if parts else np.zeros(0, np.uint64)
-            out = [*(b.column(i) for i in range(len(keep))), pa.array(fp.view(np.int64))]
-            if sets:
-                out += [pa.array([x for _, n, _ in parts for x in n.tolist()], pa.int32()), pa.array([m for _, _, marks in parts for m in marks], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            done = 0
+            for h, n, marks in _each(b.column(len(keep)), shingle, sets):
+                out = [*(b.column(i).slice(done, len(n)) for i in range(len(keep))), pa.array(shingles.majority(h, n).view(np.int64))]
+                if sets:
+                    out += [pa.array(n, pa.int32()), pa.array([p.tobytes() for p in shingles.parities(h, n, PARITY)], pa.binary()), pa.array(marks, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=names)
+                done += len(n)
 
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    return docs.select(*keep, text).mapInArrow(prints, ", ".join(f"{c} {types[c]}" for c in keep) + ", fp long" + ", n int, mark binary" * sets)
+    return docs.select(*keep, text).mapInArrow(prints, ", ".join(f"{c} {types[c]}" for c in keep) + ", fp long" + ", n int, parity binary, mark binary" * sets)
 
 
 def shingle_sets(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
@@ -96,6 +100,24 @@ def fuzzy_keys(fp: np.ndarray, max_bits: int, chosen: int) -> Iterator[tuple[np.
             yield row, key
 
 
+def first_keys(a: np.ndarray, b: np.ndarray, max_bits: int, chosen: int) -> np.ndarray:
+    """The least key that each pair of fingerprints shares; -1 if there is none."""
+    segments, choices = slots(max_bits, chosen)
+    least = []
+    for low, width in segments:
+        x, y = (golay.keys(((fp >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)) for fp in (a, b))
+        shared = np.where((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0), x[:, :, None], 1 << 12)
+        least.append(shared.min((1, 2)).astype(np.int64))
+    out = np.full(len(a), -1, np.int64)
+    for slot, choice in enumerate(choices):
+        key = np.full(len(a), slot, np.int64)
+        for s in choice:
+            key = key << 12 | least[s]
+        own = (out < 0) & np.logical_and.reduce([least[s] < 1 << 12 for s in choice])
+        out[own] = key[own]
+    return out
+
+
 def _nearest_forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among fp, nearest links first, by growing trees; memory grows with fp only."""
     n, links = len(fp), []
@@ -155,8 +177,12 @@ def links_within(key: np.ndarray, fp: np.ndarray, max_bits: int, small: int = 25
 LINK = "a long, b long, key long, block int"
 
 
-def _verify(max_bits: int, block: int):
-    """Keyed rows, sorted by key -> links (a, b); members of a key beyond one block also come out with the block's number."""
+def _verify(max_bits: int, chosen: int, block: int):
+    """Keyed rows, sorted by key -> links (a, b); members of a key beyond one block also come out with the block's number.
+
+    A key hands on the links whose first key it is: two nodes whose link it keeps back meet under a lesser key, where
+    its links connect them, or keep theirs back for a lesser one still.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -166,7 +192,10 @@ def _verify(max_bits: int, block: int):
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(key, pa.int64()), pa.array(blk, pa.int32())], names=["a", "b", "key", "block"])
 
         def links(part: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = links_within(part[0], part[2].view(np.uint64), max_bits)
+            fp = part[2].view(np.uint64)
+            a, b = links_within(part[0], fp, max_bits)
+            first = first_keys(fp[a], fp[b], max_bits, chosen) == part[0][a]
+            a, b = a[first], b[first]
             if len(a):
                 none = np.full(len(a), -1)
                 yield out(part[1][a], part[1][b], none, none)
@@ -207,8 +236,8 @@ def _verify(max_bits: int, block: int):
     return verify
 
 
-def _across(max_bits: int):
-    """Links between two blocks of one key, and within them once more."""
+def _across(max_bits: int, chosen: int):
+    """Links between two blocks of one key, and within them once more, whose first key it is."""
 
     def across(group):
         import pandas as pd
@@ -216,6 +245,7 @@ def _across(max_bits: int):
         fp = group["b"].to_numpy(np.int64).view(np.uint64)
         found = np.array(_nearest_forest(fp, max_bits), dtype=np.int64).reshape(-1, 2)
         node = group["a"].to_numpy(np.int64)
+        found = found[first_keys(fp[found[:, 0]], fp[found[:, 1]], max_bits, chosen) == group["key"].iloc[0]]
         return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
 
     return across
@@ -236,14 +266,14 @@ def candidate_links(nodes: DataFrame, max_bits: int, chosen: int, block: int = B
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(fp[row])], names=["key", "node", "fp"])
 
     keyed = nodes.select("node", "fp").mapInArrow(spread, "key long, node long, fp long")
-    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(max_bits, block), LINK))
+    found = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(max_bits, chosen, block), LINK))
     links = found.filter("block < 0").select("a", "b")
     crowd = found.filter("block >= 0")
     if not crowd.isEmpty():
         numbers = cut(crowd.groupBy("key").agg(F.max("block").alias("top")))
         pairs = crowd.join(numbers, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("top")))).filter("other <> block")
         pairs = pairs.select("a", "b", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        links = links.unionByName(pairs.groupBy("key", "i", "j").applyInPandas(_across(max_bits), "a long, b long"))
+        links = links.unionByName(pairs.groupBy("key", "i", "j").applyInPandas(_across(max_bits, chosen), "a long, b long"))
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
@@ -296,7 +326,7 @@ def _ranks(values: np.ndarray, common: np.ndarray, seen: np.ndarray) -> np.ndarr
     return out
 
 
-def prefix_size(n, similarity: float):
+def prefix_size(n: np.ndarray, similarity: float) -> np.ndarray:
     """How many shingles of a set of n are enough to meet any set of that similarity, whatever the order of all shingles."""
     return np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
 
@@ -330,15 +360,65 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[tupl
 
 
 def common_shingles(docs: DataFrame, shingle: int) -> list[tuple[int, int]]:
-    """(hash, count) of shingles that recur in a sample of docs (rid, text), most frequent first, up to COMMON. Only the order of shingles hangs on them."""
-    share = min(1.0, max(SAMPLE_DOCS / max(1, docs.count()), SAMPLE_SHARE))
-    drawn = docs.filter(F.pmod(F.xxhash64("rid", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    counts = shingle_sets(drawn, shingle, []).select(F.explode("s").alias("h")).groupBy("h").count().filter("count > 2")
-    return [(r.h, r["count"]) for r in counts.orderBy(F.desc("count"), "h").limit(COMMON).collect()]
+    """(hash, count) of the most frequent shingles of docs (text), up to COMMON. Only the order of shingles hangs on them.
+
+    Each task counts the shingles of its own texts, COUNTED at a time, and hands on those that recur there; what recurs in no
+    such run of texts is rare enough.
+    """
 
+    def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["h", "n"])
 
-def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (a, b) of rows with equal keys and other labels whose sizes allow for that similarity. Rows are sorted by key, then label."""
+        held: list[np.ndarray] = []
+        for b in batches:
+            for h, _, _ in _each(b.column(0), shingle, True):
+                held.append(h)
+                if sum(map(len, held)) >= COUNTED:
+                    yield counts(held)
+                    held = []
+        if held:
+            yield counts(held)
+
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    counts = docs.select(text).mapInArrow(recurring, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 2")
+    return [(r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are sorted by the first one, in parts of about VERIFY_ROWS that end where a key ends."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < VERIFY_ROWS:
+            continue
+        now = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = now.column(0).to_numpy()
+        tail = int(np.searchsorted(key, key[-1]))  # the last key may go on
+        if tail:
+            yield now.slice(0, tail)
+        held, rows = [now.slice(tail)], now.num_rows - tail
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node, other, at), sorted by key and label, those (key, node, at) whose key has two labels or more."""
+    for part in _by_key(batches):
+        key, node, other, at = (c.to_numpy() for c in part.columns)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        last = np.append(first[1:], len(key)) - 1
+        label = node ^ other
+        own = np.repeat(label[first] != label[last], last - first + 1)
+        if own.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (key, node, at)], names=["key", "node", "at"])
+
+
+def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, parity: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (a, b) of rows with equal keys and other labels whose sets may have that similarity. Rows are sorted by key, then label."""
     change = np.concatenate([[True], key[1:] != key[:-1]])
     group = np.cumsum(change) - 1
     end = np.append(np.flatnonzero(change)[1:], len(key))[group]
@@ -351,60 +431,40 @@ def prefix_pairs(key: np.ndarray, label: np.ndarray, n: np.ndarray, similarity:
         own = rows[i:j]
         a = np.repeat(own, many[own])
         b = np.arange(len(a)) - np.repeat(np.cumsum(many[own]) - many[own], many[own]) + after[a]
-        may = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
-        yield a[may], b[may]
+        least = np.ceil(similarity * (n[a] + n[b]) / (1 + similarity) - 1e-9).astype(np.int64)  # what similar sets share
+        # Sets share no more than this key and what is behind it in both, if it is their first.
+        may = np.minimum(n[a] - at[a], n[b] - at[b]) >= least
+        a, b, least = a[may], b[may], least[may]
+        for k in range(0, len(a), 1 << 16):
+            x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            apart = np.bitwise_count(parity[x] ^ parity[y]).sum(1)
+            near = apart <= n[x] + n[y] - 2 * least[k : k + (1 << 16)]
+            yield x[near], y[near]
 
 
 def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes with other labels that may have that similarity: none that has is missing.
 
-    docs: rid, text. heads: rid, node, label, one row a node.
+    docs: rid, text. heads: rid, node, label, n, parity, one row a node. First the keys that two labels share are found; then
+    their nodes meet with all that tells them apart, so that few pairs come out.
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            key, node, other, place = rows
-            n, at = place >> 32, place & 0xFFFFFFFF
-            for a, b in prefix_pairs(key, node ^ other, n, similarity):
-                if not len(a):
-                    continue
-                a, b = np.where(node[a] > node[b], a, b), np.where(node[a] > node[b], b, a)
-                # Sets share no more than this key and what is behind it in both, if it is their first.
-                first = np.minimum(n[a] - at[a], n[b] - at[b]) * (1 + similarity) >= similarity * (n[a] + n[b]) - 1e-9
-                order = np.lexsort((node[b], node[a]))
-                a, b, first = a[order], b[order], first[order]
-                begin = np.flatnonzero(np.concatenate([[True], (node[a][1:] != node[a][:-1]) | (node[b][1:] != node[b][:-1])]))
-                shared = np.diff(np.append(begin, len(a)))
-                x, y = a[begin], b[begin]
-                out = (node[x], node[y], n[x].astype(np.int32), n[y].astype(np.int32), shared.astype(np.int32), np.logical_or.reduceat(first, begin))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "na", "nb", "shared", "first"])
-
-        held: list[np.ndarray] = []
-        rows = 0
-        for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy() for i in range(4)]))
-            rows += batch.num_rows
-            if rows < VERIFY_ROWS:
-                continue
-            now = np.concatenate(held, axis=1)
-            tail = int(np.searchsorted(now[0], now[0, -1]))  # the last key may go on
-            if tail:
-                yield from found(now[:, :tail])
-            held, rows = [now[:, tail:]], now.shape[1] - tail
-        if rows:
-            yield from found(np.concatenate(held, axis=1))
-
-    first = prefixes(docs, shingle, similarity, common_shingles(docs, shingle), ["rid"]).join(heads, "rid")
+        for part in _by_key(batches):
+            key, node, label, n, at = (part.column(i).to_numpy() for i in range(5))
+            parity = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
+            for a, b in prefix_pairs(key, label, n.astype(np.int64), at, parity, similarity):
+                if len(a):
+                    both = np.unique(np.sort(np.stack([node[a], node[b]]), axis=0), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[1]), pa.array(both[0])], names=["a", "b"])
+
+    first = prefixes(docs, shingle, similarity, common_shingles(docs, shingle), ["rid"]).join(heads.select("rid", "node", "label"), "rid")
     # Most labels are the node itself; as a difference they cost next to nothing.
-    keyed = first.select("node", F.col("node").bitwiseXOR(F.col("label")).alias("other"), "n", F.posexplode("prefix").alias("at", "key"))
-    keyed = keyed.select("key", "node", "other", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place"))
-    sorted_ = keyed.repartition("key").sortWithinPartitions("key", F.col("node").bitwiseXOR(F.col("other")))
-    met = sorted_.mapInArrow(pairs, "a long, b long, na int, nb int, shared int, first boolean")
-    met = met.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"), F.max("first").alias("first"))
-    # Whichever prefix ends first, what two sets share is in both prefixes or behind the end of that one.
-    behind = lambda n: F.ceil(F.lit(similarity) * n - 1e-9) - 1
-    most = F.col("shared") + F.greatest(behind(F.col("na")), behind(F.col("nb")))
-    return met.filter("first").filter(most * (1 + similarity) >= F.lit(similarity) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+    keyed = first.select(F.posexplode("prefix").alias("at", "key"), "node", F.col("node").bitwiseXOR(F.col("label")).alias("other"))
+    sorted_ = keyed.select("key", "node", "other", F.col("at").cast("long").alias("at")).repartition("key").sortWithinPartitions("key", F.col("node").bitwiseXOR(F.col("other")))
+    met = cut(sorted_.mapInArrow(recurring, "key long, node long, at long")).join(heads.select("node", "label", "n", "parity"), "node")
+    met = met.select("key", "node", "label", "n", "at", "parity").repartition("key").sortWithinPartitions("key", "label")
+    return met.mapInArrow(pairs, "a long, b long").distinct()
 
 
 def _to_texts(ids: DataFrame) -> DataFrame:
@@ -427,7 +487,7 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     rows = marked.select(F.col(rid).alias("rid"), "doc_id", F.col("text"))
     prints = cut(fingerprints(rows, shingle, ["rid", "doc_id"], sets=True))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))
-    nodes = cut(prints.groupBy("mark").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), first.alias("first")).select(F.col("first.rid").alias("node"), "fp", "n", "first"))
+    nodes = cut(prints.groupBy("mark").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("parity").alias("parity"), first.alias("first")).select(F.col("first.rid").alias("node"), "fp", "n", "parity", "first"))
 
     def alike(links: DataFrame) -> DataFrame:
         """Those of links (a, b) whose shingle sets are similar enough."""
@@ -442,7 +502,7 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
         return cut(links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
 
     near = alike(candidate_links(nodes, max_bits, 2))
-    heads = nodes.join(components(near), "node", "left").select(F.col("node").alias("rid"), "node", F.coalesce("label", "node").alias("label"))
+    heads = nodes.join(components(near), "node", "left").select(F.col("node").alias("rid"), "node", F.coalesce("label", "node").alias("label"), "n", "parity")
     labels = components(near.unionByName(alike(prefix_links(rows.select("rid", "text"), cut(heads), shingle, similarity))))
     labelled = cut(nodes.join(labels, "node", "left").select("first", F.coalesce("label", "node").alias("label")))
     stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
