@@ -18,7 +18,7 @@ import numpy as np
 #: The pre-tokenizer's own pattern of byte-level BPE with use_regex (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries after which a memo takes no more (what recurs most came first), and characters of the longest it holds.
-MEMO_ENTRIES, MEMO_CHARS = 800_000, 48
+MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
 #: What stands for a space in sentencepiece's vocabularies.
 MARK = "\u2581"
 

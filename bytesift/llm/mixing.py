@@ -9,6 +9,7 @@ stay fractional; those of all blocks meet in new blocks, and so on, until a sour
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -130,7 +131,9 @@ def mix(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 0, **shares)
     ddl = f"key {schema['key'].simpleString()}, source {schema['source'].simpleString()}, size long, order long, source_size long, target double, k int, base int, p double, blocks long, block long"
     done: list[DataFrame] = []
     most = targets.agg(F.max(F.ceil(F.col("n") / block_rows))).first()[0] or 0
-    for level in range(100):
+    if block_rows < 8:
+        raise ValueError("a block has eight rows at least, or levels would not end")
+    for level in count():
         dealt = state.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "order"), F.col("blocks")))
         flown = cut(dealt.groupBy("k", "block").applyInPandas(_fly(level, seed), ddl))
         open_ = (F.col("p") > EPS) & (F.col("p") < 1 - EPS)

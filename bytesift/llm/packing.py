@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -120,7 +121,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, partition_pieces: int =
     number = lambda round_, part, bin_: F.lit(round_ << 52) + part.cast("long") * (1 << 24) + bin_
     done = [pieces.filter(F.col("length") == capacity).select(*names, (F.lit(1 << 62) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     pool, before = pieces.filter(F.col("length") < capacity), None
-    for round_ in range(1, 1000):
+    for round_ in count(1):  # a round that settles nothing is the last
         n = pool.count()
         if not n:
             break

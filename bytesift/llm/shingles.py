@@ -82,7 +82,7 @@ def xxh64(data: np.ndarray, begin: np.ndarray, size: np.ndarray, seed: int = SEE
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and bytes of a column of texts without nulls."""
+    """Offsets and bytes of a column of texts, or of bytes, without nulls."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()
     kind = np.int64 if wide else np.int32

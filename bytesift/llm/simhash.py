@@ -22,13 +22,13 @@ from bytesift.llm.common import bounded_batches, cut, free_name, with_row_id
 
 BITS = 64
 #: Keyed rows looked at at once; members of a key that are compared in one task.
-VERIFY_ROWS, BLOCK_MEMBERS = 1 << 20, 1 << 14
+VERIFY_ROWS, BLOCK_MEMBERS = 1 << 18, 1 << 14
 #: Row ids, of eight bytes each, that are broadcast at most.
 BROADCAST_IDS = 1 << 21
 #: Bits of the bitmaps that tell how many shingles two texts don't share, at least.
 PARITY = 1024
 #: Shingles that a task counts at once, and common shingles that are held at most.
-COUNTED, COMMON = 1 << 22, 1 << 18
+COUNTED, COMMON = 1 << 21, 1 << 18
 
 
 def _each(texts: pa.Array, shingle: int, sets: bool) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -102,6 +102,8 @@ def fuzzy_keys(fp: np.ndarray, max_bits: int, chosen: int) -> Iterator[tuple[np.
 
 def first_keys(a: np.ndarray, b: np.ndarray, max_bits: int, chosen: int) -> np.ndarray:
     """The least key that each pair of fingerprints shares; -1 if there is none."""
+    if len(a) > 4096:
+        return np.concatenate([first_keys(a[i : i + 4096], b[i : i + 4096], max_bits, chosen) for i in range(0, len(a), 4096)])
     segments, choices = slots(max_bits, chosen)
     least = []
     for low, width in segments:
@@ -452,7 +454,8 @@ def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: fl
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _by_key(batches):
             key, node, label, n, at = (part.column(i).to_numpy() for i in range(5))
-            parity = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint64).reshape(len(key), -1)
+            ends, data = shingles.buffers(part.column(5))
+            parity = np.ascontiguousarray(data[ends[0] : ends[-1]]).view(np.uint64).reshape(len(key), -1)
             for a, b in prefix_pairs(key, label, n.astype(np.int64), at, parity, similarity):
                 if len(a):
                     both = np.unique(np.sort(np.stack([node[a], node[b]]), axis=0), axis=1)
