@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytesift.functions.content import digest
 from bytesift.functions.fields import DIGESTS
 from bytesift.operators import maintenance, search
 from bytesift.operators.index import Index, tiers_used
@@ -78,11 +79,9 @@ class Engine:
         """Deletes by digest, or by the path of a file, from all tables: deleted if any table had it."""
         kind, hexes = self.policy().id_source, []
         for v in values:
-            if os.path.exists(v):
-                import hashlib
-
-                with open(v, "rb") as f:
-                    hexes.append(hashlib.file_digest(f, kind).hexdigest())
+            if self.store.is_file(v):  # on whatever file system the path names, read by an executor
+                content = self.spark.read.format("binaryFile").load(v if "://" in v else f"file:{os.path.abspath(v)}")
+                hexes.append(content.select(digest(F.col("content"), kind)).first()[0])
             elif len(v) == DIGESTS[kind] and all(c in "0123456789abcdefABCDEF" for c in v):
                 hexes.append(v.lower())
             else:

@@ -50,6 +50,25 @@ def grams_of(data: bytes, n: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def estimated_grams(data: bytes, n: int, precision: int = 14) -> float:
+    """About the number of distinct grams of some bytes, in memory that does not grow with them (HyperLogLog).
+
+    2^precision registers hold the longest run of leading zeros among the hashes that fall on them; few grams are
+    counted by the registers that are still empty.
+    """
+    m = 1 << precision
+    longest = np.zeros(m, np.uint8)
+    raw = np.frombuffer(data, np.uint8)
+    for a in range(0, max(0, len(raw) - n + 1), CHUNK):
+        h = gram_hashes(grams_of(data[a : a + CHUNK + n - 1], n))
+        rest = h << np.uint64(precision) | np.uint64(1 << (precision - 1))
+        run = 64 - np.frexp(rest.astype(np.float64))[1] + 1  # a double may round up to the next power of two, one register in 2^50
+        np.maximum.at(longest, (h >> np.uint64(64 - precision)).astype(np.int64), run.astype(np.uint8))
+    empty = int((longest == 0).sum())
+    raw_estimate = 0.7213 / (1 + 1.079 / m) * m * m / np.ldexp(1.0, -longest.astype(np.int64)).sum()
+    return m * math.log(m / empty) if empty and raw_estimate <= 2.5 * m else float(raw_estimate)
+
+
 def bits_per_gram(rate: float) -> int:
     """k, the bits that a gram sets, for a target rate of false hits: the nearest whole number to -log2(rate), 1 to 7."""
     return min(7, max(1, round(-math.log2(rate))))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bytesift.functions.bloom import grams_of
+from bytesift.functions.bloom import estimated_grams, grams_of
 from bytesift.functions.fields import BOOLEANS, INTEGERS, column_name
 from bytesift.functions.headers import entropy, header_fields
 
@@ -72,5 +72,15 @@ def distinct_grams_of(content: Column, n: int) -> Column:
     return count(content)
 
 
+def estimated_grams_of(content: Column, n: int) -> Column:
+    """About the number of distinct runs of n bytes, within some percent, in bounded memory."""
+
+    @F.pandas_udf("double")
+    def count(contents: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else estimated_grams(bytes(c), n) for c in contents], dtype="float64")
+
+    return count(content)
+
+
 entropy_of = entropy_of.asNondeterministic()
 headers_of = headers_of.asNondeterministic()

@@ -10,6 +10,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytesift.functions import automaton
 from bytesift.functions.content import binary, digest, entropy_of, headers_of, latin1
 from bytesift.functions.fields import BOOLEANS, column_name
 from bytesift.plans.ast import And, At, Const, Contains, Count, Entropy, Field, FieldField, FieldNow, FileSize, Identity, Ignored, In, Node, NOf, Not, Now, Offset, Or, Read, Verified, walk
@@ -59,9 +60,17 @@ def prepared(df: DataFrame, conditions: list[Node], content: str, now: int | Non
     return df, Content(F.col(content), now=int(time.time()) if now is None else now, **own), extra
 
 
+def _with_anchor(p: Pattern, c: Content) -> Column:
+    """The content where it has one of the pattern's anchors, else null: most contents need no Python."""
+    own = p.anchors(2)
+    return F.when(reduce(or_, (F.contains(c.content, binary(t)) for t in sorted(own))), c.content) if own else c.content
+
+
 def occurs(p: Pattern, c: Content) -> Column:
     if p.texts:
         return reduce(or_, (F.contains(c.content, binary(t)) for t in p.texts))
+    if p.forms:
+        return automaton.any_start(p.forms, _with_anchor(p, c), F.lit(0).cast("long"), c.size)
     return c.text.rlike(p.regex)
 
 
@@ -75,6 +84,9 @@ def _until_end(offset: Offset, least: bool) -> str:
 
 def starts_between(p: Pattern, low: Offset, high: Offset, c: Content) -> Column:
     """A match starts in low..high, both included."""
+    if p.forms:
+        place = lambda o: F.lit(o.value).cast("long") + {None: F.lit(0).cast("long"), "filesize": c.size}[o.base]
+        return automaton.any_start(p.forms, _with_anchor(p, c), place(low), place(high))
     if low.base is None and high.base is None:
         if high.value < max(0, low.value):
             return F.lit(False)
@@ -93,11 +105,15 @@ def starts_at(p: Pattern, at: Offset, c: Content) -> Column:
             return F.lit(False)
         if p.texts:
             return reduce(or_, (F.substring(c.content, at.value + 1, len(t)) == binary(t) for t in p.texts))
+        if p.forms:
+            return starts_between(p, at, at, c)
         return c.text.rlike(rf"\A{ANY}{{{at.value}}}(?:{p.regex})")
     place = c.field("pe_entry_point") + at.value
     start = (place + 1).cast("int")
     if p.texts:
         own = reduce(or_, (F.substring(c.content, start, F.lit(len(t))) == binary(t) for t in p.texts))
+    elif p.forms:
+        own = automaton.any_start(p.forms, _with_anchor(p, c), place.cast("long"), place.cast("long"))
     else:
         own = F.substring(c.text, start, F.length(c.text)).rlike(rf"\A(?:{p.regex})")
     return F.coalesce((place >= 0) & own, F.lit(False))
@@ -105,6 +121,8 @@ def starts_at(p: Pattern, at: Offset, c: Content) -> Column:
 
 def occurrences(p: Pattern, c: Content) -> Column:
     """The number of offsets at which a match starts; matches may overlap."""
+    if p.forms:
+        return automaton.count_starts(p.forms, _with_anchor(p, c))
     return F.regexp_count(c.text, F.lit(f"(?={p.regex})"))
 
 

@@ -11,6 +11,8 @@ from bytesift.operators.features import feature_rows, shard_of
 from bytesift.sources.store import DOCS, Store
 
 PLACE = ["tree", "shard", "doc_id"]
+#: Rows of a batch whose identities (64 bytes each) are broadcast.
+SMALL_BATCH = 100_000
 COLUMNS = ["identity_hex", "file_size", "external_id", "special_population", "t1_words", "t1_log2", "t2_words", "t2_log2", "prefix8", "entropy", "meta", *PLACE]
 
 
@@ -18,6 +20,23 @@ def _columns(df: DataFrame) -> DataFrame:
     return df.select(*COLUMNS)
 
 
+def _stored(store: Store, state: dict, batch: DataFrame) -> DataFrame:
+    """identity_hex and _live, whether a row of it is live, of the identities of a batch that are stored: one pass over the table.
+
+    The identities of a small batch go to the table's rows, whose shards that the batch doesn't touch are not read; a large
+    batch meets them in a shuffle.
+    """
+    asked = batch.select("identity_hex", shard_of(F.col("identity_hex"), store.policy().shards).alias("shard")).distinct()
+    few = F.broadcast(asked) if batch.count() <= SMALL_BATCH else asked
+    rows = store.all_docs(state).select("identity_hex", *PLACE).join(few, ["identity_hex", "shard"], "left_semi")
+    if state["tombstones"]:
+        gone = store.tombstones(state).select("tree", "doc_id").distinct().withColumn("_gone", F.lit(True))
+        rows = rows.join(gone, ["tree", "doc_id"], "left")
+    else:
+        rows = rows.withColumn("_gone", F.lit(None).cast("boolean"))
+    return rows.groupBy("identity_hex").agg(F.bool_or(F.col("_gone").isNull()).alias("_live"))
+
+
 def insert_rows(store: Store, rows: DataFrame) -> DataFrame:
     """Appends index rows and tells each row's status: inserted, already_exists, or restored if it had been deleted.
 
@@ -32,10 +51,8 @@ def insert_rows(store: Store, rows: DataFrame) -> DataFrame:
     features = [c for c in COLUMNS if c not in ("identity_hex", "external_id", *PLACE)]
     keeper = F.min(F.struct(F.col("external_id").isNull().alias("none"), "external_id", "_row")).alias("keeper")
     one = batch.groupBy("identity_hex").agg(F.first(F.struct(*features)).alias("f"), keeper)
-    live = store.docs(state).select("identity_hex").distinct().withColumn("_live", F.lit(True))
-    known = store.all_docs(state).select("identity_hex").distinct().withColumn("_known", F.lit(True))
-    status = F.when(F.col("_live"), "already_exists").when(F.col("_known"), "restored").otherwise("inserted")
-    marked = one.join(live, "identity_hex", "left").join(known, "identity_hex", "left").withColumn("status", status)
+    status = F.when(F.col("_live"), "already_exists").when(F.col("_live").isNotNull(), "restored").otherwise("inserted")
+    marked = one.join(_stored(store, state, batch), "identity_hex", "left").withColumn("status", status)
     fresh = marked.filter("status <> 'already_exists'").select("identity_hex", "keeper.external_id", "f.*")
     # Numbers: a row's place in its partition after the counts of the partitions before it.
     fresh = fresh.sortWithinPartitions("identity_hex").withColumn("_id", F.monotonically_increasing_id())
@@ -115,6 +132,28 @@ def compact(store: Store, force: bool = False) -> dict:
     return {"compacted": True, "rows": store.spark.read.schema(DOCS).parquet(f"{store.root}/{folder}").count()}
 
 
+def merge_folders(store: Store, most: int | None = None) -> int:
+    """Rewrites folders as one, once there are more than `most` (the policy's max_folders); how many were merged.
+
+    The newest folders are merged as long as together they don't outgrow the next older one, so a row is rewritten a number of times that
+    grows with the logarithm of the table, and the number of folders stays bounded. Deleted rows go on, as tombstones name them.
+    """
+    state, version = store.state()
+    folders = state["docs"]
+    if len(folders) <= (store.policy().max_folders if most is None else most):
+        return 0
+    size = {f: store.fs.getContentSummary(store.path(f"{store.root}/{f}")).getLength() for f in folders}
+    first, total = len(folders) - 2, size[folders[-1]] + size[folders[-2]]
+    while first > 0 and (size[folders[first - 1]] <= total or first > len(folders) // 2):
+        first -= 1
+        total += size[folders[first]]
+    folder = store.new_folder("docs")
+    rows = store.all_docs(state | {"docs": folders[first:]})
+    _columns(rows).repartition("tree", "shard").write.partitionBy("tree", "shard").parquet(f"{store.root}/{folder}")
+    store.commit(state | {"docs": [*folders[:first], folder]}, version)
+    return len(folders) - first
+
+
 def collect_garbage(store: Store) -> int:
     """Removes folders and states that the current state does not name. Readers of older states must be done."""
     state, version = store.state()

@@ -16,6 +16,8 @@ from bytesift.plans.policy import Policy
 from bytesift.plans.resolve import Query, compile_source
 
 ALL_TIERS = frozenset([1, 2])
+#: Hexadecimal digits of identities by which hits are counted before they are cut off.
+CAP_DIGITS = 4
 
 
 @dataclass(frozen=True)
@@ -85,9 +87,16 @@ def capped(found: DataFrame, live: int, percent: float) -> tuple[DataFrame, Data
         return found, counts.select("rule", F.col("n").alias("candidates"), F.lit(False).alias("truncated"), F.lit(None).cast("long").alias("truncated_limit"))
     over = F.col("n") > limit
     summary = counts.select("rule", F.least("n", F.lit(limit)).alias("candidates"), over.alias("truncated"), F.when(over, F.lit(limit)).cast("long").alias("truncated_limit"))
-    # Spark keeps a running top of each task for such ranks, so hits beyond the cap are dropped before the shuffle.
+    # Rows are counted by the first digits of their identity; only those where the cap falls are ranked.
+    digits = F.substring("identity_hex", 1, CAP_DIGITS)
+    before = F.sum("c").over(Window.partitionBy("rule").orderBy("at")) - F.col("c")
+    ranges = found.groupBy("rule", digits.alias("at")).agg(F.count("*").alias("c")).withColumn("before", before)
+    edge = ranges.filter((F.col("before") <= limit) & (F.col("before") + F.col("c") > limit)).select("rule", F.col("at").alias("_at"), (F.lit(limit) - F.col("before")).alias("_room"))
+    cut = found.join(F.broadcast(edge), "rule", "left")  # one row a rule
     rank = F.row_number().over(Window.partitionBy("rule").orderBy("identity_hex", "tree", "doc_id"))
-    return found.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank"), summary
+    within = cut.filter(F.col("_at").isNull() | (digits < F.col("_at")))
+    last = cut.filter(digits == F.col("_at")).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_room"))
+    return within.select(*found.columns).unionByName(last.select(*found.columns)), summary
 
 
 def page(found: DataFrame, cursor: int, size: int) -> DataFrame:

@@ -22,6 +22,7 @@ class Policy:
     tree_docs: int = 5000
     dedup_min_docs: int = 1000
     compaction_cooldown_s: float = 5.0
+    max_folders: int = 64
 
     def __post_init__(self):
         if self.id_source not in DIGESTS:

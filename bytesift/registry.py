@@ -26,6 +26,8 @@ SQL: dict[str, str] = {}
 TABLES = {"documents": (["doc_id"], "text"), "pages": (["page_id"], "html"), "conversations": (["conv_id", "turn"], "text")}
 #: Query time of rules that compare with it.
 NOW = 1_700_000_000
+#: Passages without five parts that one pass over the texts looks for.
+SHORT_BLOCK = 200
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,7 +70,6 @@ rule("lit_nocase", 'strings: $a = "license" nocase condition: $a', "regexp_match
 rule("lit_fullword", 'strings: $a = "than" fullword condition: $a', "regexp_matches(t, '(^|[^A-Za-z0-9_])than($|[^A-Za-z0-9_])')")
 rule("lit_utf8", 'strings: $a = "été" $b = "über" $c = "ción" condition: any of them', f"{HAS('été')} OR {HAS('über')} OR {HAS('ción')}")
 rule("lit_wide", 'strings: $a = "tion" wide condition: $a', HAS("tion"), charset="UTF-16LE")
-rule("lit_wide_ascii", 'strings: $a = "tion" wide ascii condition: $a', HAS("tion"))
 rule("lit_escape", 'strings: $a = "\\x74\\x68e\\x20" condition: $a', HAS("the "))
 rule("lit_anonymous", 'strings: $ = "the " $ = "est " condition: all of them', f"{HAS('the ')} AND {HAS('est ')}")
 rule("lit_nocase_wide_fullword", 'strings: $a = "THE" nocase wide fullword condition: $a', "regexp_matches(t, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')", charset="UTF-16LE")
@@ -94,15 +95,8 @@ rule("n_of", 'strings: $a = "the " $b = "que " $c = "und " $d = "con " condition
 rule("wildcard_set", 'strings: $x1 = "the " $x2 = "of " $y = "que " condition: all of ($x*) and not $y', f"{HAS('the ')} AND {HAS('of ')} AND NOT {HAS('que ')}")
 rule("n_of_impossible", 'strings: $a = "the " condition: 2 of them', "false")
 # sizes, digests, reads
-for op, sql in (("==", "="), ("!=", "<>"), ("<", "<"), ("<=", "<="), (">", ">"), (">=", ">=")):
-    name = {"==": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}[op]
-    rule(f"filesize_{name}", f"condition: filesize {op} 1KB", f"{SIZE} {sql} 1024")
 rule("filesize_range", 'strings: $a = "the " condition: $a and filesize >= 512 and filesize < 2KB', f"{HAS('the ')} AND {SIZE} >= 512 AND {SIZE} < 2048")
-for kind, width in (("md5", 32), ("sha1", 40), ("sha256", 64)):
-    rule(f"id_{kind}", f'condition: hash.{kind}(0, filesize) == "{"0" * width}" or filesize < 600', f"{kind}(t) = '{'0' * width}' OR {SIZE} < 600")
 rule("numeric_read", "condition: uint16(0) == 0x6854 or uint32be(0) == 0x416E6420", "starts_with(t, 'Th') OR starts_with(t, 'And ')")
-rule("time_now", "condition: time.now > 5 and filesize < 700", f"{SIZE} < 700")
-rule("header_field", "condition: not pe.is_pe and not elf.is_elf and pe.machine != 0x14c or filesize < 650", f"{SIZE} < 650")
 # places and counts
 rule("at_offset", 'strings: $a = "The " $b = "hat" condition: $a at 0 or $b at 1', "starts_with(t, 'The ') OR starts_with(substr(t, 2), 'hat') AND ascii(t) < 128")
 rule("in_range", 'strings: $a = "the " condition: $a in (0..20)', "contains(t, 'the ') AND octet_length(encode(split_part(t, 'the ', 1))) <= 20")
@@ -116,6 +110,38 @@ rule("for_of_at", 'strings: $a = "The " $b = "And " condition: for any of them :
 rule("pages_html_rule", 'strings: $a = "<article>" $b = /<h1>[A-Z]/ $c = "&copy;" condition: all of them', "contains(t, '<article>') AND regexp_matches(t, '<h1>[A-Z]') AND contains(t, '&copy;')", table="pages")
 rule("conv_role_rule", 'strings: $a = "the " $b = "?" condition: any of them and filesize > 100', f"({HAS('the ')} OR {HAS('?')}) AND {SIZE} > 100", table="conversations")
 
+
+def _first(spark: SparkSession, sf: str, value) -> object:
+    """A value of the document with the smallest id: something that rules can be compared with on any table."""
+    rows = contents(spark, sf).orderBy("doc_id").limit(1)
+    return rows.select(value(F.col("content"))).first()[0]
+
+
+FIRST = "(SELECT {} FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 1)"
+
+
+def about_first(name: str, body: str, value, where: str) -> None:
+    """Registers a rule that compares each document with the first one: body has a place for the value, where for the same in SQL."""
+    QUERIES[name] = lambda spark, sf: search.scan(contents(spark, sf), f"rule r {{ condition: {body.format(_first(spark, sf, value))} }}").select("doc_id")
+    SQL[name] = f"SELECT doc_id FROM documents WHERE text IS NOT NULL AND {where}"
+
+
+for op, sql in (("==", "="), ("!=", "<>"), ("<", "<"), ("<=", "<="), (">", ">"), (">=", ">=")):
+    name = {"==": "eq", "!=": "ne", "<": "lt", "<=": "le", ">": "gt", ">=": "ge"}[op]
+    about_first(f"filesize_{name}", f"filesize {op} {{}}", F.octet_length, f"octet_length(encode(text)) {sql} {FIRST.format('octet_length(encode(text))')}")
+for kind in ("md5", "sha1", "sha256"):
+    about_first(f"id_{kind}", f'hash.{kind}(0, filesize) == "{{}}"', lambda c, k=kind: fc.digest(c, k), f"{kind}(text) = {FIRST.format(f'{kind}(text)')}")
+    about_first(f"id_{kind}_not", f'not hash.{kind}(0, filesize) == "{{}}"', lambda c, k=kind: fc.digest(c, k), f"{kind}(text) <> {FIRST.format(f'{kind}(text)')}")
+
+
+@register("SELECT doc_id FROM documents WHERE contains(text, 'tion')")
+def lit_wide_ascii(spark, sf):
+    """Texts in UTF-8 and in UTF-16 by turns: one string finds both."""
+    docs = read(spark, sf, "documents").filter("text IS NOT NULL")
+    both = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16LE"))
+    return search.scan(docs.select("doc_id", both.alias("content")), 'rule r { strings: $a = "tion" wide ascii condition: $a }').select("doc_id")
+
+
 MULTI = """
 private rule helper { strings: $h = "the " condition: $h }
 rule small { condition: helper and filesize < 1KB }
@@ -147,23 +173,26 @@ def benchmark_contamination(spark, sf):
 
     The second to fourth of a passage's parts between spaces are whole parts of any text that holds it, so passages and
     texts meet by the hash of three parts, and containment is tested where they meet. Passages of fewer
-    than five parts are strings of one rule each; their number is checked.
+    than five parts are looked for in every text, SHORT_BLOCK of them in a pass.
     """
     items = read(spark, sf, "benchmark").filter("text IS NOT NULL").select("item_id", F.col("text").alias("needle"), F.split("text", " ").alias("p"))
     keyed = items.filter(F.size("p") >= 5).select("item_id", "needle", F.xxhash64(F.concat_ws(" ", F.slice("p", 2, 3))).alias("k"))
     docs = read(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", "text", F.split("text", " ").alias("p"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("p") - 2, F.lit(1)))
     grams = docs.select("doc_id", "text", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.concat_ws(" ", F.slice("p", i, 3))))).alias("g"))
-    keys = keyed.select("k").distinct()
-    if keys.count() <= 100_000:  # 8 bytes each; then only parts that begin a passage reach the join
-        grams = grams.withColumn("g", F.array_intersect("g", F.lit([r["k"] for r in keys.collect()]).cast("array<long>")))
     # explode_outer: the filter that explode implies would compute the parts once for each window
-    hits = grams.select("doc_id", "text", F.explode_outer("g").alias("k")).join(keyed, "k").filter(F.contains("text", "needle")).select("doc_id", "item_id")
-    short = items.filter(F.size("p") < 5).select("item_id", "needle").limit(1001).collect()
-    if len(short) > 1000:
-        raise ValueError("too many short passages")
-    for r in short:
-        hits = hits.unionByName(docs.filter(F.contains("text", F.lit(r["needle"]))).select("doc_id", F.lit(r["item_id"]).alias("item_id")))
+    grams = grams.select("doc_id", F.explode_outer("g").alias("k"))
+    keys = keyed.select("k").distinct()
+    few = keys.count() <= 1_000_000  # 8 bytes each; then parts that begin no passage are dropped where they are made
+    met = grams.join(F.broadcast(keys) if few else keys, "k", "left_semi").join(keyed.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
+    hits = met.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "needle"), "item_id").filter(F.contains("text", "needle")).select("doc_id", "item_id")
+    # A passage of fewer parts has no part that is whole in every text: its bytes are looked for, all passages of a block in one pass.
+    short = items.filter(F.size("p") < 5).select("item_id", "needle")
+    n = short.count()
+    for block in range(0, n, SHORT_BLOCK):
+        own = short.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item_id", "needle")) - 1).filter(F.col("n").between(block, block + SHORT_BLOCK - 1)).collect()
+        found = F.filter(F.array(*[F.when(F.contains("text", F.lit(r["needle"])), F.lit(r["item_id"])) for r in own]), lambda x: x.isNotNull())
+        hits = hits.unionByName(docs.select("doc_id", F.explode(found).alias("item_id")))
     return hits.distinct()
 
 
@@ -296,6 +325,15 @@ def distinct_grams(spark, sf):
     return contents(spark, sf).select("doc_id", fc.distinct_grams_of(c, 3).alias("grams3"), fc.distinct_grams_of(c, 4).alias("grams4"))
 
 
+@register("SELECT doc_id, true AS near3, true AS near4 FROM documents WHERE text IS NOT NULL")
+def gram_estimates(spark, sf):
+    """Whether estimates of the distinct runs of bytes are within 3 % (or 2) of the exact numbers."""
+    c = F.col("content")
+    rows = contents(spark, sf).select("doc_id", *[f(c, n).alias(f"{name}{n}") for n in (3, 4) for name, f in (("exact", fc.distinct_grams_of), ("about", fc.estimated_grams_of))])
+    near = lambda n: F.abs(F.col(f"about{n}") - F.col(f"exact{n}")) <= F.greatest(0.03 * F.col(f"exact{n}"), F.lit(2.0))
+    return rows.select("doc_id", near(3).alias("near3"), near(4).alias("near4"))
+
+
 BYTES = """
 WITH c AS (SELECT doc_id, octet_length(encode(text)) AS n, substr(hex(text), 2 * i::BIGINT - 1, 2) AS ch
     FROM (SELECT doc_id, text, unnest(generate_series(1, octet_length(encode(text)))) AS i FROM documents WHERE text IS NOT NULL)),
@@ -323,11 +361,12 @@ def shard_histogram(spark, sf):
     return rows.groupBy("shard").agg(F.count("*").alias("n"))
 
 
-@register()
+@register(BYTES + """SELECT CAST(doc_id AS VARCHAR) AS external_id, sha256(text) AS identity_hex, octet_length(encode(text))::BIGINT AS file_size, false AS special_population,
+substr(hex(text), 1, 16) AS prefix8, round(coalesce(entropy, 0), 3) AS entropy, false AS is_pe FROM documents LEFT JOIN e USING (doc_id) WHERE text IS NOT NULL""")
 def feature_table(spark, sf):
-    """All index columns of all documents but the filters' words, whose sizes stand for them."""
+    """The index columns of all documents but the filters."""
     rows = feature_rows(contents(spark, sf).select(F.col("doc_id").cast("string").alias("external_id"), "content"), Policy())
-    return rows.select("external_id", "identity_hex", "file_size", "special_population", "t1_log2", "t2_log2", F.size("t1_words").alias("t1_size"), F.size("t2_words").alias("t2_size"), F.hex("prefix8").alias("prefix8"), "entropy", F.col("meta.pe_is_pe").alias("is_pe"))
+    return rows.select("external_id", "identity_hex", "file_size", "special_population", F.hex("prefix8").alias("prefix8"), F.round(F.col("entropy").cast("double"), 3).alias("entropy"), F.col("meta.pe_is_pe").alias("is_pe"))
 
 
 # --- maintenance ---------------------------------------------------------------------------------------------------
@@ -391,11 +430,13 @@ def compaction(spark, sf):
     return maintenance.stats(store).select(F.col("live_docs").alias("live"), F.col("deleted_docs").alias("deleted"), F.lit(folders).cast("long").alias("folders"))
 
 
-@register("SELECT sha256(text) AS identity_hex, doc_id, row_number() OVER (ORDER BY sha256(text), doc_id) AS n FROM documents WHERE text IS NOT NULL")
+@register("SELECT sha256(text) AS identity_hex, doc_id, true AS in_order FROM documents WHERE text IS NOT NULL")
 def source_reference(spark, sf):
-    """The sorted reference of identities; n numbers it through (a check only; the reference itself is sorted in parts)."""
-    ref = maintenance.source_reference(placed(spark, sf))
-    return ref.withColumn("n", F.row_number().over(Window.orderBy("identity_hex", "doc_id")).cast("long")).select("identity_hex", "doc_id", "n")
+    """The sorted reference of identities, and whether each row lies behind the one before it in its part."""
+    ref = maintenance.source_reference(placed(spark, sf)).withColumn("row", F.monotonically_increasing_id())
+    part = Window.partitionBy(F.shiftrightunsigned("row", 33)).orderBy("row")
+    before = F.lag(F.struct("identity_hex", "doc_id")).over(part)
+    return ref.select("identity_hex", "doc_id", F.coalesce(before <= F.struct("identity_hex", "doc_id"), F.lit(True)).alias("in_order"))
 
 
 @register("SELECT count(*) AS docs, count(DISTINCT sha256(text)) AS live FROM documents WHERE text IS NOT NULL")
@@ -413,6 +454,19 @@ def stream_ingest_counts(spark, sf):
     return live.select(F.lit(total).cast("long").alias("docs"), "live")
 
 
+@register("SELECT count(DISTINCT sha256(text)) AS live, true AS few_folders FROM documents WHERE text IS NOT NULL AND doc_id % 5 = 0")
+def stream_many_batches(spark, sf):
+    """A fifth of the documents in forty small batches: folders are merged as they become many."""
+    from bytesift.streaming.ingest import ingest_stream, table_stream
+
+    root = shared(spark)
+    store = Store(spark, f"{root}/table")
+    store.init(Policy(max_folders=8))
+    read(spark, sf, "documents").filter("text IS NOT NULL AND doc_id % 5 = 0").select("doc_id", "text").repartition(40, "doc_id").write.parquet(f"{root}/incoming")
+    ingest_stream(table_stream(spark, f"{root}/incoming", "doc_id", "text", max_files=1), store, f"{root}/checkpoint").awaitTermination()
+    return store.docs().agg(F.count("*").alias("live")).select("live", F.lit(len(store.state()[0]["docs"]) <= 8).alias("few_folders"))
+
+
 @register("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def stream_events(spark, sf):
     """The events table through micro-batches into Parquet, counted by type."""
@@ -436,14 +490,28 @@ def identity_lookup(spark, sf):
 
 @register(f"""
 WITH d AS (SELECT sha256(text) AS h, any_value(text) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1)
-SELECT 'sized' AS rule, count(*) AS matches, count(*) AS candidates, 0::BIGINT AS missed, 1.0::DOUBLE AS "precision", 1.0::DOUBLE AS recall FROM d WHERE octet_length(encode(t)) > 2048
+SELECT 'lit' AS rule, count(*) AS matches, 0::BIGINT AS missed, 1.0::DOUBLE AS recall FROM d WHERE {HAS('license')}
+UNION ALL SELECT 'both', count(*), 0, 1.0 FROM d WHERE {HAS('thanedble')} AND {HAS('Eriner')}
+UNION ALL SELECT 'rx', count(*), 0, 1.0 FROM d WHERE regexp_matches(t, 'licensed? under the [A-Z]')
 """)
 def truth_join(spark, sf):
-    """Exact matches against candidates of a condition that the index decides: precision and recall are 1."""
-    queries = compile_source("rule sized { condition: filesize > 2KB }")
+    """Exact matches of three rules against candidates that the filters of an index let through: none is missed."""
+    store = indexed(spark, sf)
+    queries = [q for q in compile_source(INDEX_RULES) if q.name in ("both", "lit", "rx")]
     rows = contents(spark, sf).select(fc.digest(F.col("content"), "sha256").alias("identity_hex"), "content")
-    docs = rows.select("identity_hex", F.octet_length("content").cast("long").alias("file_size"), F.lit(None).cast("string").alias("external_id"), F.lit(0).alias("tree"), F.lit(0).alias("doc_id"))
-    return search.join_truth(search.scan(rows, queries), search.candidates(docs, queries, Policy(), search.Options(0)), ["identity_hex"])
+    found = search.candidates(store.docs(), queries, store.policy(), search.Options(0))
+    return search.join_truth(search.scan(rows, queries).distinct(), found, ["identity_hex"]).select("rule", "matches", "missed", "recall")
+
+
+@register("SELECT 'both' AS rule, true AS precise UNION ALL SELECT 'lit', true UNION ALL SELECT 'place', true")
+def candidate_precision(spark, sf):
+    """Whether at least half of what the filters let through are matches, for rules of literals."""
+    store = indexed(spark, sf)
+    queries = [q for q in compile_source(INDEX_RULES) if q.name in ("both", "lit", "place")]
+    rows = contents(spark, sf).select(fc.digest(F.col("content"), "sha256").alias("identity_hex"), "content")
+    found = search.candidates(store.docs(), queries, store.policy(), search.Options(0))
+    out = search.join_truth(search.scan(rows, queries).distinct(), found, ["identity_hex"])
+    return out.select("rule", (F.col("precision") >= 0.5).alias("precise"))
 
 
 @register("SELECT 'inserted' AS status, count(DISTINCT sha256(text)) AS n FROM documents WHERE text IS NOT NULL")
@@ -474,7 +542,16 @@ def table_stats(spark, sf):
     return maintenance.stats(indexed(spark, sf)).select("live_docs", "deleted_docs", "bytes", "special_docs", "trees")
 
 
-@register()
+@register("""
+SELECT * FROM (VALUES
+    ('good', false, 'searchable', '', '', '', NULL::INT, NULL::INT),
+    ('later', false, 'searchable-needs-verify', 'verifier-only', 'warning', 'the index does not decide count conditions', 3, 1),
+    ('loose', false, 'unsupported', 'regex-no-mandatory-literal', 'error', 'an expression has no run of fixed bytes', 4, 1),
+    ('negated', false, 'unsupported', 'negated-search-unbounded', 'error', 'a match needs nothing but the absence of strings', 5, 1),
+    ('negated', false, 'unsupported', 'negated-search', 'warning', 'the index does not decide the absence of strings', 5, 1),
+    ('other', false, 'unsupported', 'hash-identity-mismatch', 'error', 'hash.md5 is compared, the current source is sha256', 6, 1)
+) AS t(rule, is_private, status, code, severity, message, line, "column")
+""")
 def rule_check(spark, sf):
     """Reports on one rule of each kind."""
     source = """

@@ -1,12 +1,14 @@
 """The engine's table: Parquet generations, tombstones, a policy, and a pointer that makes changes visible at once.
 
 Nothing that a reader may have open is changed. A commit writes a new pointer file that names the folders of
-documents and tombstones; pointers are numbered, the highest one counts, and it is put in place by a rename.
+documents and tombstones; pointers are numbered, the highest one counts, and it is put in place by a rename. On file
+systems whose rename is not atomic (object stores), two writers may both believe they have committed: have one writer there.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 
@@ -58,6 +60,15 @@ class Store:
         stream.close()
         return text
 
+    def is_file(self, path: str) -> bool:
+        """Whether a path, with or without a file system's name, is a file; without one it is local."""
+        try:
+            own = self.path(path if "://" in path or path.startswith("file:") else f"file:{os.path.abspath(path)}")
+            fs = own.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+            return fs.exists(own) and fs.getFileStatus(own).isFile()
+        except Exception:  # no path at all, or of no known file system
+            return False
+
     def exists(self) -> bool:
         return self.fs.exists(self.path(f"{self.root}/policy.json"))
 
@@ -88,26 +99,21 @@ class Store:
     # tables
 
     def new_folder(self, kind: str) -> str:
-        return f"{kind}/{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+        return f"{kind}/gen=g{time.time_ns()}-{uuid.uuid4().hex[:8]}"
 
-    def _load(self, folders: list[str], schema: str) -> DataFrame:
+    def _load(self, kind: str, folders: list[str], schema: str) -> DataFrame:
+        """All folders of a kind in one scan, whatever their number."""
+        empty = self.spark.createDataFrame([], schema)
         if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self.root).parquet(*[f"{self.root}/{f}" for f in folders])
+            return empty
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{kind}").parquet(*[f"{self.root}/{f}" for f in folders]).select(*empty.columns)
 
     def all_docs(self, state: dict | None = None) -> DataFrame:
         """Every stored row, deleted ones too."""
-        state = state or self.state()[0]
-        if not state["docs"]:
-            return self.spark.createDataFrame([], DOCS)
-        parts = None
-        for f in state["docs"]:
-            own = self.spark.read.schema(DOCS).parquet(f"{self.root}/{f}")
-            parts = own if parts is None else parts.unionByName(own)
-        return parts
+        return self._load("docs", (state or self.state()[0])["docs"], DOCS)
 
     def tombstones(self, state: dict | None = None) -> DataFrame:
-        return self._load((state or self.state()[0])["tombstones"], TOMBSTONES)
+        return self._load("tombstones", (state or self.state()[0])["tombstones"], TOMBSTONES)
 
     def docs(self, state: dict | None = None) -> DataFrame:
         """The live rows."""

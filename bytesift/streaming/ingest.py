@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from bytesift.operators.maintenance import insert
+from bytesift.operators.maintenance import insert, merge_folders
 from bytesift.sources.store import Store
 
 
@@ -32,10 +32,11 @@ def table_stream(spark: SparkSession, path: str, id_col: str, text_col: str, max
 def ingest_stream(stream: DataFrame, store: Store, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Starts the ingest. A batch that is repeated after a failure finds its documents there and adds nothing.
 
-    One writer at a time holds the checkpoint. trigger: {"availableNow": True} or {"processingTime": ...}.
+    Folders of batches are merged as they become many, so searches and later batches don't slow down with their number. One writer at a time holds the checkpoint. trigger: {"availableNow": True} or {"processingTime": ...}.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         insert(store, df)
+        merge_folders(store)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

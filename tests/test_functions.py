@@ -1,12 +1,19 @@
 """Filters, header fields, entropy."""
 
 import math
+import random
+import re
 import struct
 
 import numpy as np
+import pytest
 
 from bytesift.functions import bloom
+from bytesift.functions.automaton import Automaton
 from bytesift.functions.headers import LNK, entropy, header_fields, is_special, sampled_entropy
+from bytesift.operators import search
+from bytesift.plans.ast import StringDef
+from bytesift.plans.patterns import compile_string
 
 
 def test_filters_hold_what_was_put_in(spark):
@@ -38,6 +45,45 @@ def test_literal_grams_are_spread():
     assert bloom.literal_grams(b"AB", 3, 16) == []
 
 
+def test_gram_estimates_are_near():
+    rng = np.random.default_rng(3)
+    for size in (0, 3, 10, 1000, 40_000, 300_000):
+        data = rng.bytes(size)
+        assert abs(bloom.estimated_grams(data, 4) - len(bloom.grams_of(data, 4))) <= max(2, 0.03 * size)
+
+
+REPEATS = [r"(ab|c)+x", r"(a|bc)*d", r"((a|bc)+d?)+b", r"\b(ab|cd)+\b", r"^(ab|c)*d$", r"x(a|bc){0,200}\Bd", r"([ab]c|d)+?[^a]", r"(ab|cd)+", r"(a{2}|b)+c.d", r"(ab?){3,}c$"]
+
+
+@pytest.mark.parametrize("source", REPEATS)
+@pytest.mark.parametrize("modifiers", [(), ("fullword",), ("wide",), ("wide", "ascii", "fullword"), ("nocase",)])
+def test_automaton_finds_the_starts_that_backtracking_finds(source, modifiers):
+    random.seed(source)
+    p = compile_string(StringDef("$a", "regex", source, frozenset(modifiers), 0))
+    assert p.forms
+    own = Automaton(p.forms)
+    other = re.compile(b"(?=" + p.regex.replace(r"\z", r"\Z").encode("latin-1") + b")", re.S)
+    for _ in range(80):
+        data = bytes(random.choice(random.choice([b"abcdx", b"abcdx _", b"abc\0d\0x", b"ABCDabcd"])) for _ in range(random.randint(0, 40)))
+        if "wide" in modifiers and random.random() < 0.7:
+            data = b"".join(bytes([b, 0]) for b in data)
+        assert list(own.starts(data)) == sorted({m.start() for m in other.finditer(data)}, reverse=True)
+
+
+def test_repeats_over_long_contents(spark):
+    ten = 10 << 20
+    rows = [(1, b"abcd" * (ten // 4)), (2, b"abcd" * (ten // 4) + b"x"), (3, b"a" * ten + b"bcd"), (4, b"bc" * (ten // 2)), (5, None), (6, b"")]
+    df = spark.createDataFrame(rows, "i int, content binary")
+    source = r"""
+rule tail { strings: $a = /(ab|cd)+x/ condition: $a }
+rule middle { strings: $a = /(a|bc)*d/ condition: $a }
+rule nested { strings: $a = /((ab?|cd)+c?)+x/ condition: $a at 0 }
+rule many { strings: $a = /(ab|cd)+x/ condition: #a > 1000 }
+"""
+    got = {(r.rule, r.i) for r in search.scan(df, source).select("rule", "i").collect()}
+    assert got == {("tail", 2), ("middle", 1), ("middle", 2), ("middle", 3), ("nested", 2), ("many", 2)}
+
+
 def pe(machine=0x14C, traits=0x0200, magic=0x20B, signed=(1, 8), dotnet=(0, 0)):
     data = bytearray(0x240)
     data[:2], data[0x3C:0x40], data[0x80:0x84] = b"MZ", struct.pack("<I", 0x80), b"PE\0\0"

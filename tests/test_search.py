@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytesift.engine import Engine
-from bytesift.operators import search
+from bytesift.operators import maintenance, search
 from bytesift.operators.features import feature_rows
 from bytesift.plans.errors import RuleError
 from bytesift.plans.policy import Policy
 from bytesift.plans.resolve import compile_source
+from bytesift.sources.store import Store
 from tests.test_functions import pe
 
 FILES = {
@@ -267,3 +268,29 @@ def test_stream(spark, tmp_path):
         ingest_stream(file_stream(spark, str(source), max_files=2), store, str(tmp_path / "c")).awaitTermination()
         assert store.docs().count() == 3
         (source / "9.bin").write_bytes(b"content 1")
+
+
+def test_cap_keeps_the_first_by_identity(spark):
+    rows = [(r, f"{(i * 2654435761) % (1 << 32):08x}", None, 0, i) for r, n in (("a", 500), ("b", 40), ("c", 41)) for i in range(n)]
+    rows += [("d", "0000aaaa", None, 0, i) for i in range(90)]  # one range holds the whole rule
+    found = spark.createDataFrame(rows, "rule string, identity_hex string, external_id string, tree int, doc_id int")
+    kept, summary = search.capped(found, 400, 10.0)
+    want = {r: sorted((x[1], x[4]) for x in rows if x[0] == r)[:40] for r in "abcd"}
+    assert {r: sorted((x.identity_hex, x.doc_id) for x in kept.collect() if x.rule == r) for r in "abcd"} == want
+    assert {(r.rule, r.candidates, r.truncated, r.truncated_limit) for r in summary.collect()} == {("a", 40, True, 40), ("b", 40, False, None), ("c", 40, True, 40), ("d", 40, True, 40)}
+
+
+def test_merged_folders_hold_the_same_rows(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "t"))
+    store.init(Policy(max_folders=4))
+    for i in range(7):
+        rows = [(str(j), f"text {j}".encode()) for j in range(i * 3, i * 3 + 5)]
+        maintenance.insert(store, spark.createDataFrame(rows, "external_id string, content binary"))
+        if i == 3:
+            maintenance.delete(store, store.docs().orderBy("identity_hex").limit(4).select("identity_hex"))
+        maintenance.merge_folders(store)
+        assert len(store.state()[0]["docs"]) <= 4
+    assert store.docs().count() == 23 - 4 and store.all_docs().count() == 23
+    again = spark.createDataFrame([(str(j), f"text {j}".encode()) for j in range(23)], "external_id string, content binary")
+    status = {r.status: r["count"] for r in maintenance.insert(store, again).groupBy("status").count().collect()}
+    assert status == {"already_exists": 19, "restored": 4} and store.docs().count() == 23
