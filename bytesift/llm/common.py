@@ -56,6 +56,27 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+#: Bitmaps of 4 KB, one for each run of 32,768 row ids, that are broadcast at most: 64 MB.
+BITMAPS = 1 << 14
+
+
+def among(df: DataFrame, rid: str, ids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of df whose row id is among ids (a column rid, one row an id), or is not.
+
+    A bit for each row id goes to the rows of df, which stay where they are. Where there are more bitmaps than BITMAPS, the rows
+    meet the ids in a shuffle.
+    """
+    bucket, bits = free_name(df, "bucket_"), free_name(df, "bits_")
+    maps = cut(ids.groupBy(F.bitmap_bucket_number(rid).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rid)).alias(bits)))
+    if maps.count() > BITMAPS:
+        return df.join(ids, rid, "left_semi" if inside else "left_anti")
+    met = df.withColumn(bucket, F.bitmap_bucket_number(rid)).join(F.broadcast(maps), bucket, "left")
+    place = F.bitmap_bit_position(rid)
+    byte = F.conv(F.hex(F.substring(bits, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))) != 0, F.lit(False))
+    return met.filter(hit if inside else ~hit).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores before it if df has such a column already (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -18,13 +18,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bytesift.llm import golay, shingles
-from bytesift.llm.common import bounded_batches, cut, free_name, with_row_id
+from bytesift.llm.common import among, bounded_batches, cut, free_name, with_row_id
 
 BITS = 64
 #: Keyed rows looked at at once; members of a key that are compared in one task.
 VERIFY_ROWS, BLOCK_MEMBERS = 1 << 18, 1 << 14
-#: Row ids, of eight bytes each, that are broadcast at most.
-BROADCAST_IDS = 1 << 21
 #: Bits of the bitmaps that tell how many shingles two texts don't share, at least.
 PARITY = 1024
 #: Shingles that a task counts at once, and common shingles that are held at most.
@@ -470,11 +468,6 @@ def prefix_links(docs: DataFrame, heads: DataFrame, shingle: int, similarity: fl
     return met.mapInArrow(pairs, "a long, b long").distinct()
 
 
-def _to_texts(ids: DataFrame) -> DataFrame:
-    """ids (eight bytes a row, computed), sent to all texts as long as they are few; beyond, the texts meet them in a shuffle."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_bits: int = 8) -> DataFrame:
     """docs without near-duplicates: of each group the row with the smallest doc_id stays (null ids last; among equal ids one row).
 
@@ -499,7 +492,7 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
         links = links.join(na, "a").join(nb, "b")
         links = cut(links.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b"))
         ends = cut(links.select(F.col("a").alias("rid")).union(links.select("b")).distinct())
-        sets = cut(shingle_sets(rows.join(_to_texts(ends), "rid", "left_semi"), shingle, ["rid"]))
+        sets = cut(shingle_sets(among(rows, "rid", ends), shingle, ["rid"]))
         x, y = (sets.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
         return cut(links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
@@ -510,4 +503,4 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
     labelled = cut(nodes.join(labels, "node", "left").select("first", F.coalesce("label", "node").alias("label")))
     stay = labelled.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"))
     gone = cut(prints.select("rid").join(stay, "rid", "left_anti")).withColumnRenamed("rid", rid)
-    return marked.join(_to_texts(gone), rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return among(marked, rid, gone, inside=False).select(*[F.col(f"`{c}`") for c in docs.columns])

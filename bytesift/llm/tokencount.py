@@ -2,7 +2,8 @@
 
 A text's normalised content and the tokenizer's version each have a digest; counts are stored under the pair.
 A count joins the digests to the stored ones, encodes each missing content once, appends the new counts to the
-cache and joins again, so copies and earlier runs cost a hash and no encoding.
+cache and joins again, so copies and earlier runs cost a hash and no encoding. Digests move, texts do not: a missing
+content is encoded where the first row that has it lies.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import bounded_batches
+from bytesift.llm.common import among, bounded_batches, cut
 from bytesift.llm.encoders import count_many, tokenizer_digest
 
 CACHE_SCHEMA = "content binary, tokenizer string, n_tokens long"
@@ -49,25 +50,27 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, limit: i
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows each get a row; a null id stays null. Very long
     texts are encoded whole. Other columns of docs are not read, whatever their names. An empty table gives an
     empty result. The cache only ever grows by rows, each written once its count is known; a run that dies leaves a
-    valid cache. Two runs at once may both append a count; equal pairs are read as one.
+    valid cache. Two runs at once may both append a count; equal pairs are read as one. docs must be a deterministic scan
+    (files), for rows are found again by their place in it.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     version = tokenizer_digest(tokenizer_path)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("content", content_digest(F.col("text")))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("rid", F.monotonically_increasing_id())
+    keyed = cut(texts.select("id", "rid", F.octet_length("text").cast("long").alias("n_bytes"), content_digest(F.col("text")).alias("content")))
 
     def known() -> DataFrame:
         rows = read_cache(spark, cache_path).filter(F.col("tokenizer") == version)
         return rows.groupBy("content").agg(F.min("n_tokens").alias("n_tokens"))
 
-    misses = texts.groupBy("content").agg(F.first("text").alias("text")).join(known().select("content"), "content", "left_anti")
-    counted = misses.mapInPandas(_encode(tokenizer_path), "content binary, n_tokens long")
+    misses = keyed.groupBy("content").agg(F.min("rid").alias("rid")).join(known().select("content"), "content", "left_anti")
+    missing = among(texts.select("rid", "text"), "rid", cut(misses.select("rid")))
+    counted = missing.select(content_digest(F.col("text")).alias("content"), "text").mapInPandas(_encode(tokenizer_path), "content binary, n_tokens long")
     counted.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     # No aggregation stands between the cache and the join, so a digest that many rows share can be split there.
     now = read_cache(spark, cache_path).filter(F.col("tokenizer") == version).select("content", "n_tokens")
     if _repeats(now):
         now = known()
-    keyed = texts.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "content")
     return keyed.join(now, "content").select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
