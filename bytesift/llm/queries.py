@@ -25,7 +25,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["doc_id"])
+    return sharding.shard(read(spark, sf_dir, "documents"), ["doc_id"])
 
 
 def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,9 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bytesift.llm.common import free_name, with_row_id
+
 #: Slots of the table, a prime; a table of two ints a slot takes about half a MB and is what a query broadcasts.
 SLOTS = 65_537
 SHARDS = 64
+#: Bytes of rows in one file of a shard.
+FILE_BYTES = 512 << 20
 
 
 def _hash(name: str, salt: str) -> int:
@@ -64,8 +68,6 @@ def shard(df: DataFrame, keys: list[str], names: tuple[str, ...] = tuple(f"shard
     Rows with equal keys share a shard; choose keys that tell rows apart where one value may hold many rows. Null keys
     are a key like any other. Every row stays, in place: no shuffle. No rows give no rows.
     """
-    from bytesift.llm.common import free_name
-
     own = {c: free_name(df, c) for c in ("slot", "shard", "shard_name")}
     table = table_frame(df.sparkSession, names, slots)
     for c, name in own.items():
@@ -73,8 +75,24 @@ def shard(df: DataFrame, keys: list[str], names: tuple[str, ...] = tuple(f"shard
     return df.withColumn(own["slot"], slot_of([F.col(k) for k in keys], slots)).join(F.broadcast(table), own["slot"]).select(*[F.col(f"`{c}`") for c in df.columns], *own.values())
 
 
-def write_shards(df: DataFrame, keys: list[str], path: str, files_per_shard: int = 1, **options) -> None:
-    """df as Parquet with a folder for each shard. Rows of a shard are dealt over its files by their key."""
-    own = shard(df, keys, **options)
-    part = F.pmod(F.xxhash64(F.lit("file"), *[F.col(k) for k in keys]), F.lit(files_per_shard))
-    own.repartition("shard", part).write.partitionBy("shard").parquet(path)
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: those of its texts, and eight for each other column."""
+    long = [f.name for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`")).cast("long"), F.lit(0)) for c in long]
+    return sum(sizes, F.lit(8 * (len(df.columns) - len(long))).cast("long"))
+
+
+def write_shards(df: DataFrame, keys: list[str], path: str, file_bytes: int = FILE_BYTES, **options) -> None:
+    """df as Parquet with a folder for each shard, in files of about file_bytes of rows.
+
+    Rows are dealt over the files of a shard by their place in df, so many rows of one key are many files and tasks, not one. Null
+    keys are a key; very long texts are rows like any other; no rows leave a folder without files; an existing path is an error and
+    stays as it is. df must be a deterministic scan.
+    """
+    own = shard(with_row_id(df, free_name(df, "row_id")), keys, **options)
+    rid, name = own.columns[len(df.columns)], own.columns[-2]
+    files = own.groupBy(name).agg(F.greatest(F.ceil(F.sum(_bytes(df)) / file_bytes), F.lit(1)).alias("files"))
+    dealt = own.join(F.broadcast(files), name)  # one row a shard
+    dealt = dealt.withColumn("file", F.pmod(F.xxhash64(F.col(rid)), F.col("files")))
+    total = files.agg(F.coalesce(F.sum("files"), F.lit(1))).first()[0]
+    dealt.repartition(max(1, int(total)), name, "file").drop(rid, "files", "file").write.partitionBy(name).parquet(path)

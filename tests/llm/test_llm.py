@@ -230,10 +230,19 @@ def test_lookup_table_and_shards(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    docs = spark.createDataFrame([(i,) for i in range(200)], "doc_id long")
-    sharding.write_shards(docs, ["doc_id"], str(tmp_path / "s"), files_per_shard=2)
-    back = spark.read.parquet(str(tmp_path / "s"))
-    assert sorted(r.doc_id for r in back.collect()) == list(range(200))
+    rows = [(i % 3 or None, "text " * (i % 50), i) for i in range(600)] + [(7, "long " * 50_000, 600), (7, None, 601)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    at = str(tmp_path / "s")
+    sharding.write_shards(docs, ["doc_id"], at, file_bytes=20_000)
+    back = spark.read.parquet(at)
+    assert sorted((r.doc_id or -1, r.text or "", r["shard"]) for r in back.collect()) == sorted((d or -1, t or "", n) for d, t, n in rows)
+    folders = {p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("_shard=")}
+    assert len(folders) <= 4 and max(len(list((tmp_path / "s" / f).glob("*.parquet"))) for f in folders) > 1  # one key, several files
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        sharding.write_shards(docs, ["doc_id"], at)
+    assert spark.read.parquet(at).count() == len(rows)
+    sharding.write_shards(docs.limit(0), ["doc_id"], str(tmp_path / "none"))
+    assert not list((tmp_path / "none").rglob("*.parquet"))
 
 
 # --- vectors ---
