@@ -6,6 +6,7 @@ each filter over a window feeds a softmax. A text is all its windows; its langua
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,14 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytesift.llm.common import bounded_batches
+from bytesift.llm.common import bounded_batches, cut
 
 #: Bytes of a window, dimensions of a byte, widths of the filters and filters of each width.
 WINDOW, DIMS, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: The training sample: documents of each language, and characters of each, at most; windows of each document.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_WINDOWS = 800, 2048, 4
+#: The training sample: documents of each language and of all, at most; windows and short pieces drawn from each whole text.
+SAMPLE_DOCS, SAMPLE_TOTAL, SAMPLE_WINDOWS, SAMPLE_SHORT = 800, 100_000, 4, 2
 UNKNOWN = "und"
-CHUNK = 64
+#: Windows that the network is applied to at once, and windows of a batch's texts that are gathered before.
+CHUNK, GATHERED = 64, 4096
 
 
 @dataclass
@@ -77,8 +79,18 @@ def probabilities(model: Model, x: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 0) -> Model:
-    """A model of the labels' languages, by Adam on windows drawn from the texts."""
+def drawn_windows(text: str, seed: int) -> np.ndarray:
+    """Windows drawn over a whole text, and short pieces of it, as short texts must be recognised as well."""
+    rng = np.random.default_rng(seed)
+    data = data_of(text)
+    own = windows_of(data)
+    own = own[np.sort(rng.choice(len(own), min(SAMPLE_WINDOWS, len(own)), replace=False))]
+    starts = rng.integers(0, max(1, len(data) - 64), SAMPLE_SHORT)
+    return np.concatenate([own, *(windows_of(data[a : a + int(rng.integers(4, 64))]) for a in starts.tolist())])
+
+
+def train(x: np.ndarray, labels: list[str], epochs: int = 3, seed: int = 0) -> Model:
+    """A model of the labels' languages, by Adam on windows and their labels."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
     wide, filters = max(WIDTHS), FILTERS * len(WIDTHS)
@@ -94,17 +106,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, seed: int = 0) -
     model = Model(languages, **p)
     if len(languages) < 2:
         return model
-    x, y = [], []
-    number = {name: i for i, name in enumerate(languages)}
-    for text, label in zip(texts, labels):
-        data = data_of(text)
-        own = windows_of(data)
-        own = own[rng.choice(len(own), min(SAMPLE_WINDOWS, len(own)), replace=False)]
-        # Short texts must be recognised as well.
-        starts = rng.integers(0, max(1, len(data) - 64), 2)
-        own = np.concatenate([own, *(windows_of(data[a : a + int(rng.integers(4, 64))]) for a in starts.tolist())])
-        x.append(own), y.append(np.full(len(own), number[label]))
-    x, y = np.concatenate(x), np.concatenate(y)
+    y = np.searchsorted(languages, labels)
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
     step = 0
     for _ in range(epochs):
@@ -140,37 +142,70 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, label: str = "lang") -> pd.DataFrame:
-    """text, label of at most about SAMPLE_DOCS documents of each language, drawn by a hash, none of them held out.
+    """doc_id, label, window of at most about SAMPLE_DOCS documents of each language, drawn by a hash, none of them held out.
 
-    What reaches the driver is bounded by languages * SAMPLE_DOCS * SAMPLE_CHARS; it does not grow with the table.
+    Whole texts are read where they lie. What reaches the driver is bounded by SAMPLE_TOTAL documents of a few windows each; it grows
+    neither with the table nor with the number of languages, of which each has its share.
     """
     usable = docs.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in usable.groupBy(label).count().collect()}
-    if not counts:
-        return pd.DataFrame({"text": [], "label": []})
-    rate = F.create_map(*[F.lit(z) for k, n in counts.items() for z in (k, min(1.0, SAMPLE_DOCS / n))])
+    rows = usable.select("doc_id", F.col(label).alias("label"), "text")
+    counts = cut(rows.groupBy("label").count())
+    n = counts.count()
+    each = min(SAMPLE_DOCS, SAMPLE_TOTAL / max(1, n))
+    counts = F.broadcast(counts) if n <= SAMPLE_TOTAL else counts  # a name and a number a language
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
-    rows = usable.filter(draw < F.element_at(rate, F.col(label))).select("doc_id", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), F.col(label).alias("label"))
-    return rows.toPandas().sort_values(["doc_id", "label", "text"], kind="stable")
+    drawn = rows.join(counts, "label").filter(draw < F.lit(float(each)) / F.col("count")).select("doc_id", "label", "text")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [drawn_windows(t, zlib.crc32(str(d).encode())) for d, t in zip(b["doc_id"], b["text"])]
+            many = [len(w) for w in own]
+            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(many), "label": b["label"].repeat(many), "window": [w.tobytes() for part in own for w in part]})
+
+    types = dict(rows.dtypes)
+    out = drawn.mapInPandas(windows, f"doc_id {types['doc_id']}, label {types['label']}, window binary").toPandas()
+    return out.sort_values(["doc_id", "label", "window"], kind="stable", ignore_index=True)
 
 
 def fit(docs: DataFrame, label: str = "lang") -> Model | None:
     """A model learned from the sample; None if nothing is labelled."""
+    bounded_batches(docs.sparkSession)
     sample = training_sample(docs, label)
-    return train(sample["text"].tolist(), sample["label"].tolist()) if len(sample) else None
+    if not len(sample):
+        return None
+    return train(np.frombuffer(b"".join(sample["window"]), np.uint8).reshape(len(sample), WINDOW), sample["label"].tolist())
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float]:
-    """The language with the largest mean probability over all windows of a text, and that probability."""
-    if text is None:
-        return UNKNOWN, 0.0
-    x = windows_of(data_of(text))
-    total = np.zeros(len(model.languages))
-    for i in range(0, len(x), 4096):
-        total += probabilities(model, x[i : i + 4096]).sum(0, dtype=float)
-    best = int(total.argmax())
-    return model.languages[best], min(1.0, float(total[best] / len(x)))
+def predict(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """For each text the language with the largest mean probability over all its windows, and that probability.
+
+    Windows of neighbouring texts go through the network together, GATHERED at a time.
+    """
+    total, count = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts), np.int64)
+    held: list[tuple[int, np.ndarray]] = []
+    rows = 0
+
+    def settle() -> None:
+        nonlocal rows
+        if held:
+            owner = np.repeat([i for i, _ in held], [len(x) for _, x in held])
+            np.add.at(total, owner, probabilities(model, np.concatenate([x for _, x in held])))
+        held.clear()
+        rows = 0
+
+    for i, text in enumerate(texts):
+        if text is None:
+            continue
+        x = windows_of(data_of(text))
+        count[i] = len(x)
+        for a in range(0, len(x), GATHERED):
+            held.append((i, x[a : a + GATHERED]))
+            rows += len(held[-1][1])
+            if rows >= GATHERED:
+                settle()
+    settle()
+    best = total.argmax(1)
+    return [(model.languages[k], min(1.0, float(row[k] / n))) if n else (UNKNOWN, 0.0) for k, row, n in zip(best, total, count)]
 
 
 def _lettered() -> Column:
@@ -189,7 +224,7 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
 
     def classify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [predict(model, text) for text in b["text_"]]
+            out = predict(model, b["text_"].tolist())
             yield b.drop(columns="text_").assign(lang_pred=[o[0] for o in out], score=[o[1] for o in out])
 
     types = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -202,6 +237,6 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([t is not None and predict(model, t)[1] >= least for t in texts], dtype=bool)
+        return pd.Series([score > 0 and score >= least for _, score in predict(model, texts.tolist())], dtype=bool)
 
     return docs.filter(known(_lettered()))

@@ -395,6 +395,44 @@ def test_nothing_held_out_is_learned_from(spark):
     assert a.equals(b) and set(a["label"]) == set(WORDS)
 
 
+def test_the_network_equals_a_slow_forward_pass():
+    rng = np.random.default_rng(14)
+    rows = language_rows(120)
+    texts, labels = [t for _, t, _ in rows], [a for _, _, a in rows]
+    own = [langid.drawn_windows(t, i) for i, t in enumerate(texts)]
+    model = langid.train(np.concatenate(own), [a for a, w in zip(labels, own) for _ in w], epochs=1)
+    filters = model.conv.T.reshape(-1, max(langid.WIDTHS), langid.DIMS).astype(float)
+
+    def slow(window):
+        e = model.embed[window].astype(float)
+        pooled = []
+        for f, kernel in enumerate(filters):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            assert not kernel[width:].any()
+            padded = np.concatenate([e, np.repeat(model.embed[:1].astype(float), max(langid.WIDTHS) - 1, 0)])
+            pooled.append(max(sum(float(padded[i + k] @ kernel[k]) for k in range(width)) for i in range(len(window))))
+        z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out.astype(float) + model.out_bias
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    odd = ["", "x", "é", texts[0], texts[0] * 30, None, texts[1].upper()]
+    got = langid.predict(model, odd)
+    for text, (lang, score) in zip(odd, got):
+        if text is None:
+            assert (lang, score) == ("und", 0.0)
+            continue
+        mean = np.mean([slow(w) for w in langid.windows_of(langid.data_of(text))], 0)
+        assert lang == model.languages[int(mean.argmax())] and abs(score - mean.max()) < 1e-4
+    # However texts are gathered, each has its own result.
+    many = langid.predict(model, odd * 40)
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(many, got * 40))
+    langid_gathered, langid.GATHERED = langid.GATHERED, 3
+    try:
+        assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for a, b in zip(langid.predict(model, odd), got))
+    finally:
+        langid.GATHERED = langid_gathered
+
+
 def test_windows_cover_all_bytes():
     for n in (0, 1, 255, 256, 257, 512, 700):
         data = bytes(i % 251 + 1 for i in range(n))
