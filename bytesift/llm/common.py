@@ -34,13 +34,17 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once into the reliable checkpoint folder; later reads survive the loss of executors."""
+def cut(df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataFrame:
+    """Computes df once into the reliable checkpoint folder; later reads survive the loss of executors.
+
+    rows: how many there are at most, if that is known; then they go to a file for each per_file of them, and not to one for each
+    partition of a shuffle.
+    """
     spark = df.sparkSession
     at = shared_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).checkpoint(eager=True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -67,7 +71,8 @@ def among(df: DataFrame, rid: str, ids: DataFrame, inside: bool = True) -> DataF
     meet the ids in a shuffle.
     """
     bucket, bits = free_name(df, "bucket_"), free_name(df, "bits_")
-    maps = cut(ids.groupBy(F.bitmap_bucket_number(rid).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rid)).alias(bits)))
+    maps = ids.groupBy(F.bitmap_bucket_number(rid).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(rid)).alias(bits))
+    maps = cut(maps, BITMAPS, BITMAPS // 8)
     if maps.count() > BITMAPS:
         return df.join(ids, rid, "left_semi" if inside else "left_anti")
     met = df.withColumn(bucket, F.bitmap_bucket_number(rid)).join(F.broadcast(maps), bucket, "left")

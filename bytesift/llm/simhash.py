@@ -286,13 +286,14 @@ def components(links: DataFrame) -> DataFrame:
     state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     links = cut(links)
     now = state(links)
+    most = 2 * now[0]  # rows of any step
     while now[0]:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = cut(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), most)
+        large = cut(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), most)
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")), most)
         small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        links = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), most)
         before, now = now, state(links)
         if now == before:
             break
@@ -491,11 +492,12 @@ def near_duplicates_dropped(docs: DataFrame, shingle: int = 5, similarity: float
         na, nb = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
         links = links.join(na, "a").join(nb, "b")
         links = cut(links.filter(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b"))
-        ends = cut(links.select(F.col("a").alias("rid")).union(links.select("b")).distinct())
+        n = links.count()
+        ends = cut(links.select(F.col("a").alias("rid")).union(links.select("b")).distinct(), 2 * n)
         sets = cut(shingle_sets(among(rows, "rid", ends), shingle, ["rid"]))
         x, y = (sets.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
         common = F.size(F.array_intersect("sa", "sb"))
-        return cut(links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+        return cut(links.join(x, "a").join(y, "b").filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b"), n, 1000)
 
     near = alike(candidate_links(nodes, max_bits, 2))
     heads = nodes.join(components(near), "node", "left").select(F.col("node").alias("rid"), "node", F.coalesce("label", "node").alias("label"), "n", "parity")
