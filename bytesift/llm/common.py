@@ -44,7 +44,11 @@ def cut(df: DataFrame, rows: int | None = None, per_file: int = 50_000) -> DataF
     at = shared_dir(spark)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(at)
-    return (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).checkpoint(eager=True)
+    done = (df if rows is None else df.coalesce(max(1, -(-rows // per_file)))).checkpoint(eager=True)
+    # A checkpoint goes on with its plan's estimate of bytes, which multiplies with every join; after some steps of a loop
+    # that number alone takes minutes. The rows as such have no estimate, and adaptive execution sees their sizes.
+    rdd, schema = done._jdf.queryExecution().toRdd(), done._jdf.schema()
+    return type(df)(spark._jsparkSession.internalCreateDataFrame(rdd, schema, False), spark)
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
