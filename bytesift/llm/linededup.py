@@ -44,8 +44,9 @@ def dedup_lines(docs: DataFrame, min_sites: int, site: str = "source", lg_k: int
     Lines end at LF and are compared without the white space at their ends; blank lines always stay. Of a
     boilerplate line the occurrence with the smallest doc_id, then position, stays (null ids last; among rows with
     one id the one with the smaller text hash, then the one that is read first). Rows all of whose lines go keep an empty text; null texts stay null. A null site
-    counts for nothing, but its lines go like others. Other columns pass through. docs must be a
-    deterministic scan, for rows are found again by their place in it.
+    counts for nothing, but its lines go like others. Repeated rows are rows of their own, of which the first one keeps its lines. Very
+    long texts are split and rewritten whole. Other columns pass through. No rows give no rows. docs must be a deterministic
+    scan, for rows are found again by their place in it.
     """
     rid = free_name(docs, "row_id")
     gone_name = free_name(docs, "gone_lines")

@@ -148,7 +148,14 @@ def mix(rows: DataFrame, block_rows: int = BLOCK_ROWS, seed: int = 0, **shares)
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (words the mix takes) for each row of docs."""
+    """doc_id, source, size, source_size, target, copies, taken (words the mix takes) for each row of docs.
+
+    A null text has no words; texts without words are taken no more than their source's ratio says and add nothing. Very long texts are one
+    unit each, counted whole. Null ids pass through; a null source is a source of its own; repeated rows are drawn each for itself, but
+    as they share their order they also share a block, whose size they alone don't bound. Other columns are not read. No rows give
+    no rows. The landing takes the nearest of all ways for the last rows of a source: the flight before it keeps every expectation, the
+    landing keeps the total.
+    """
     rows = docs.select(F.col("doc_id").alias("key"), "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("order"))
     return mix(rows, **options).select(F.col("key").alias("doc_id"), "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -156,7 +163,8 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of docs as often as the mix takes it, with the columns of docs.
 
-    docs must be a deterministic scan (a table or files), for rows are found again by their place in it.
+    docs must be a deterministic scan (a table or files), for rows are found again by their place in it. Nulls, ties, long texts and empty
+    tables are as in mix_documents; columns of docs may have any names.
     """
     rid, times = free_name(docs, "row_id"), free_name(docs, "row_copies")
     marked = with_row_id(docs, rid)
