@@ -51,11 +51,42 @@ def parser() -> argparse.ArgumentParser:
     command("info", "root")
     c = command("scan", "rule")
     c.add_argument("paths", nargs="+")
+    c.add_argument("--tag", help="only rules with this tag")
+    c.add_argument("--timeout", type=float, help="seconds after which the scan is cancelled")
     command("compact", "root").add_argument("--force", action="store_true")
     command("dedup", "root").add_argument("--force", action="store_true")
     return p
 
 
+def scan(spark, hits, timeout: float | None, out) -> int:
+    """Prints hits as they come. After `timeout` seconds the jobs of the scan are cancelled, and the code is 2."""
+    from threading import Timer
+
+    job, late = f"scan-{id(hits)}", []
+
+    def stop() -> None:
+        late.append(True)
+        spark.sparkContext.cancelJobsWithTag(job)
+
+    clock = Timer(timeout, stop) if timeout else None
+    spark.sparkContext.addJobTag(job)
+    try:
+        if clock:
+            clock.start()
+        for r in hits.toLocalIterator():
+            print(f"{r.rule} {r.external_id}", file=out)
+    except Exception:
+        if not late:
+            raise
+        print(f"the scan was cancelled after {timeout:g} s", file=sys.stderr)
+        return 2
+    finally:
+        if clock:
+            clock.cancel()
+        spark.sparkContext.removeJobTag(job)
+    return 0
+
+
 def session():
     from pyspark.sql import SparkSession
 
@@ -113,9 +144,7 @@ def _run(args, out) -> int:
 
     spark = session()
     if args.command == "scan":
-        for r in Engine(spark, []).scan(load_rules(args.rule), args.paths).toLocalIterator():
-            print(f"{r.rule} {r.external_id}", file=out)
-        return 0
+        return scan(spark, Engine(spark, []).scan(load_rules(args.rule), args.paths, args.tag), args.timeout, out)
     engine = Engine(spark, args.root.split(","))
     if args.command == "init":
         engine.init(Policy(args.id_source, args.store_path, args.gram_sizes, args.tier1_set_fp, args.tier2_set_fp, args.shards, dedup_min_docs=args.dedup_min_docs, compaction_cooldown_s=args.compaction_idle_cooldown_s), args.force)

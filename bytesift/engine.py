@@ -126,9 +126,12 @@ class Engine:
             hits = search.verify(hits, contents, source, now=options.now)
         return Result(hits, summary, {q.name: tiers_used(q.condition, q.patterns, index) for q in source})
 
-    def scan(self, source: str, paths) -> DataFrame:
-        """Exact matches in files, without a table."""
-        return search.scan(self.contents(paths), source).select("rule", "external_id")
+    def scan(self, source: str, paths, tag: str | None = None) -> DataFrame:
+        """rule and external_id of each exact match among files, without an index; with a tag, of the rules that have it."""
+        queries = compile_source(source, tag)
+        if not queries:
+            return self.spark.createDataFrame([], "rule string, external_id string")
+        return search.scan(self.contents(paths), queries).select("rule", "external_id")
 
     def info(self) -> DataFrame:
         out = maintenance.stats(self.stores[0])

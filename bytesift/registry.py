@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytesift.functions import content as fc
-from bytesift.operators import maintenance, search
+from bytesift.operators import maintenance, search, telemetry
 from bytesift.operators.features import feature_rows, shard_of
 from bytesift.plans.check import check_frame, check_source
 from bytesift.plans.policy import Policy
@@ -334,6 +334,46 @@ def gram_estimates(spark, sf):
     return rows.select("doc_id", near(3).alias("near3"), near(4).alias("near4"))
 
 
+_WORDS = "greatest(1, ceil(log2(greatest(n * {k} / ln(2) / 64, 1))))::INT"
+SIZES = f"""
+WITH g AS (SELECT h, count(DISTINCT CASE WHEN i <= n - 2 THEN substr(x, 2 * i - 1, 6) END) AS n3, count(DISTINCT CASE WHEN i <= n - 3 THEN substr(x, 2 * i - 1, 8) END) AS n4
+    FROM (SELECT h, hex(t) AS x, octet_length(encode(t)) AS n, unnest(generate_series(1, greatest(octet_length(encode(t)), 1))) AS i
+          FROM (SELECT sha256(text) AS h, any_value(text) AS t FROM documents WHERE text IS NOT NULL GROUP BY 1)) GROUP BY 1),
+s AS (SELECT tier, log2_words, count(*) AS docs FROM (SELECT 1 AS tier, {_WORDS.format(k=1).replace("n *", "n3 *")} AS log2_words FROM g UNION ALL SELECT 2, {_WORDS.format(k=2).replace("n *", "n4 *")} FROM g) GROUP BY 1, 2)
+"""
+
+
+@register(SIZES + "SELECT tier, log2_words, docs, (docs * 2 ** (log2_words + 3))::BIGINT AS bytes FROM s")
+def filter_sizes(spark, sf):
+    """How many documents have filters of each size, which follows from their distinct runs of bytes."""
+    return telemetry.filter_sizes(indexed(spark, sf).docs())
+
+
+@register(SIZES + """SELECT tier, share, min(log2_words) AS log2_words FROM (SELECT tier, log2_words, sum(docs) OVER (PARTITION BY tier ORDER BY log2_words) / sum(docs) OVER (PARTITION BY tier) AS within FROM s),
+(SELECT unnest([0.5, 0.9, 0.99])::DOUBLE AS share) WHERE within >= share - 1e-12 GROUP BY 1, 2""")
+def filter_size_quantiles(spark, sf):
+    return telemetry.weighted_quantiles(telemetry.filter_sizes(indexed(spark, sf).docs()), [0.5, 0.9, 0.99])
+
+
+@register("""SELECT event_id, list_sort(list(value) OVER w)[greatest(ceil(len(list(value) OVER w) * 0.95), 1)::INT] AS p95 FROM events
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)""")
+def rolling_p95(spark, sf):
+    """The 95th percentile of the last sixteen values of each kind of event."""
+    events = read(spark, sf, "events")
+    return events.select("event_id", telemetry.rolling_percentile(events, "value", ["event_type"], ["ts", "event_id"]).alias("p95"))
+
+
+@register("SELECT unnest(['both', 'lit', 'rx']) AS rule, true AS narrows")
+def tier_narrowing(spark, sf):
+    """Whether the second tier lets through no more than the first, and no fewer than match."""
+    store = indexed(spark, sf)
+    queries = [q for q in compile_source(INDEX_RULES) if q.name in ("both", "lit", "rx")]
+    rows = contents(spark, sf).select(fc.digest(F.col("content"), "sha256").alias("identity_hex"), "content")
+    hits = search.scan(rows, queries).distinct().groupBy("rule").agg(F.count("*").alias("hits"))
+    out = telemetry.tier_narrowing(store.docs(), queries, store.policy()).join(hits, "rule", "left")
+    return out.select("rule", ((F.col("tier2") <= F.col("tier1")) & (F.col("tier2") >= F.coalesce("hits", F.lit(0)))).alias("narrows"))
+
+
 BYTES = """
 WITH c AS (SELECT doc_id, octet_length(encode(text)) AS n, substr(hex(text), 2 * i::BIGINT - 1, 2) AS ch
     FROM (SELECT doc_id, text, unnest(generate_series(1, octet_length(encode(text)))) AS i FROM documents WHERE text IS NOT NULL)),

@@ -14,6 +14,8 @@ from bytesift.plans.errors import RuleError
 from bytesift.plans.policy import Policy
 from bytesift.plans.resolve import compile_source
 from bytesift.sources.store import Store
+from bytesift.streaming.adaptive import Pace, ingest_paced
+from bytesift.streaming.ingest import table_stream
 from tests.test_functions import pe
 
 FILES = {
@@ -295,3 +297,42 @@ def test_merged_folders_hold_the_same_rows(spark, tmp_path):
     again = spark.createDataFrame([(str(j), f"text {j}".encode()) for j in range(23)], "external_id string, content binary")
     status = {r.status: r["count"] for r in maintenance.insert(store, again).groupBy("status").count().collect()}
     assert status == {"already_exists": 19, "restored": 4} and store.docs().count() == 23
+
+
+def test_pace_follows_how_long_batches_take(spark, tmp_path):
+    pace = Pace(quick_s=1, slow_s=5, short_s=0.5, middle_s=2, longest_s=20)
+    assert [pace.after(0.2) for _ in range(3)] == [0.5] * 3
+    assert pace.after(3) == 2 and pace.after(8) == 4 and pace.after(8) == 8 and [pace.after(9) for _ in range(3)] == [16, 20, 20]
+    assert [pace.after(0.1) for _ in range(16)][-1] == 0.5  # the slow ones have left the window
+    root, pauses = tmp_path / "in", []
+    store = Store(spark, str(tmp_path / "t"))
+    store.init(Policy())
+    rounds = iter(range(3))
+
+    def more():
+        i = next(rounds, None)
+        if i is None:
+            return False
+        spark.createDataFrame([(i, f"text {i}"), (i + 100, f"other {i}")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(root))
+        return True
+
+    assert ingest_paced(lambda: table_stream(spark, str(root), "doc_id", "text"), store, str(tmp_path / "c"), Pace(), more, pauses.append) == 3
+    assert store.docs().count() == 6 and len(pauses) == 3 and store.state()[0]["next_doc_id"] == 6
+
+
+def test_scan_by_tag_and_with_a_timeout(spark, tmp_path, capsys):
+    import io
+
+    from bytesift import cli
+    from bytesift.plans.resolve import compile_source as compiled
+
+    (tmp_path / "a").write_bytes(b"needle")
+    source = 'rule one : red blue { strings: $a = "needle" condition: $a } rule two : blue { strings: $a = "needle" condition: $a } rule three { strings: $a = "needle" condition: $a }'
+    engine = Engine(spark, [])
+    names = lambda tag: sorted(r.rule for r in engine.scan(source, [str(tmp_path / "a")], tag).collect())
+    assert names(None) == ["one", "three", "two"] and names("blue") == ["one", "two"] and names("red") == ["one"] and names("none") == []
+    assert compiled(source)[0] is compiled(source)[0]
+    out = io.StringIO()
+    assert cli.scan(spark, engine.scan(source, [str(tmp_path / "a")], "red"), 60, out) == 0 and out.getvalue().startswith("one ")
+    slow = spark.range(0, 10**13, 1, 4).filter(F.xxhash64("id") == 0).select(F.lit("r").alias("rule"), F.lit("x").alias("external_id"))
+    assert cli.scan(spark, slow, 2, out) == 2 and "cancelled" in capsys.readouterr().err
