@@ -64,6 +64,12 @@ def with_row_id(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this session has written, on whatever file system it is."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
+
+
 #: Bitmaps of 4 KB, one for each run of 32,768 row ids, that are broadcast at most: 64 MB.
 BITMAPS = 1 << 14
 

@@ -126,7 +126,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, partition_pieces: int =
         if not n:
             break
         parts = -(-n // partition_pieces)
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(round_), "doc_id", "piece", "ids_crc32", F.lit("deal")), F.lit(parts)).cast("int"))
+        # Repeated rows are dealt by their place as well, or they would all meet in one part.
+        place = F.monotonically_increasing_id() % 1024
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64(F.lit(round_), "doc_id", "piece", "ids_crc32", F.lit("deal"), place), F.lit(parts)).cast("int"))
         packed = cut(dealt.groupBy("part").applyInPandas(_pack(capacity), PIECES + ", part int, bin long, offset long, settled boolean, gap long"))
         placed = packed.select(*names, number(round_, F.col("part"), F.col("bin")).alias("sequence_id"), "offset", "settled")
         if parts == 1 or before is not None and n >= before:
