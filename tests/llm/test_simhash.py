@@ -203,3 +203,27 @@ def test_fingerprints_of_sets_count_a_repeated_line_once(spark):
     a, b = (r.fp & (1 << 64) - 1 for r in simhash.fingerprints(docs, 5, ["doc_id"], sets=True).orderBy("doc_id").collect())
     assert bin(a ^ b).count("1") <= 8 < bin(brute_print(texts[0], 5) ^ brute_print(texts[1], 5)).count("1")
     assert [r.doc_id for r in simhash.near_duplicates_dropped(docs).collect()] == [0]
+
+
+def test_many_short_versions_and_a_large_group(spark, tmp_path):
+    rng = np.random.default_rng(15)
+    rows = []
+    for count, length, edits in [(24, 60, (0, 4))] * 25 + [(400, 120, (1, 6))]:
+        words = [f"w{i}" for i in rng.integers(0, 9000, length)]
+        rows += [(len(rows) + i, t) for i, t in enumerate(versions(rng, words, count, edits))]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "docs"))
+    got = simhash.near_duplicates_dropped(spark.read.parquet(str(tmp_path / "docs")))
+    assert sorted(r.doc_id for r in got.collect()) == brute_stay(rows)
+
+
+def test_first_keys_are_the_least_that_are_shared():
+    rng = np.random.default_rng(16)
+    a = rng.integers(0, 2**63, 300).astype(np.uint64)
+    b = a ^ np.uint64(1 << 5) ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    b[:50] = rng.integers(0, 2**63, 50).astype(np.uint64)
+    own = [{*()} for _ in a], [{*()} for _ in a]
+    for fps, sets in zip((a, b), own):
+        for rows, keys in simhash.fuzzy_keys(fps, 8, 2):
+            for r, k in zip(rows.tolist(), keys.tolist()):
+                sets[r].add(k)
+    assert simhash.first_keys(a, b, 8, 2).tolist() == [min(x & y, default=-1) for x, y in zip(*own)]
