@@ -17,8 +17,8 @@ import numpy as np
 
 #: The pre-tokenizer's own pattern of byte-level BPE with use_regex (fixed value).
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries after which a memo takes no more (what recurs most came first), and characters of the longest it holds.
-MEMO_ENTRIES, MEMO_CHARS = 200_000, 48
+#: Entries after which a memo of ids, or of numbers of pieces, takes no more (what recurs most came first), and characters of the longest.
+MEMO_ENTRIES, MEMO_COUNTS, MEMO_CHARS = 200_000, 800_000, 48
 #: What stands for a space in sentencepiece's vocabularies.
 MARK = "\u2581"
 
@@ -147,7 +147,7 @@ class PieceCounter:
             fresh = self._split(new)
         get = self.of_word.get
         out = [(self._run(x) if x else 0) if c is None else sum([get(w) or fresh[w] for w in c]) for x, c in zip(texts, cut)]
-        if len(self.of_word) < MEMO_ENTRIES:
+        if len(self.of_word) < MEMO_COUNTS:
             self.of_word.update((w, n) for w, n in fresh.items() if len(w) <= MEMO_CHARS)
         return out
 
