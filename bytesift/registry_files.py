@@ -157,13 +157,13 @@ SQL["header_values"] = (
 
 
 def long_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """doc_id, content: each text as often as makes it long, up to some MB, with a word of its own at the end."""
+    """doc_id, content: each text with a word of its own at the end, and behind a long repeat in one of fifty."""
     d = spark.read.parquet(f"{sf}/documents.parquet").filter("text IS NOT NULL")
     tail = F.when(F.col("doc_id") % 3 == 0, F.lit("anonthx")).otherwise(F.lit("anonth."))
-    return d.select("doc_id", F.encode(F.concat(F.repeat(F.lit("anonth"), (F.col("doc_id") % 7 * 2000).cast("int")), F.expr("repeat(text, 2)"), tail), "UTF-8").alias("content"))
+    return d.select("doc_id", F.encode(F.concat(F.when(F.col("doc_id") % 50 == 0, F.repeat(F.lit("anonth"), 20_000)).otherwise(""), "text", tail), "UTF-8").alias("content"))
 
 
-LONG = "(SELECT doc_id, repeat('anonth', (doc_id % 7 * 2000)::INT) || repeat(text, 2) || CASE WHEN doc_id % 3 = 0 THEN 'anonthx' ELSE 'anonth.' END AS t FROM documents WHERE text IS NOT NULL)"
+LONG = "(SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN repeat('anonth', 20000) ELSE '' END || text || CASE WHEN doc_id % 3 = 0 THEN 'anonthx' ELSE 'anonth.' END AS t FROM documents WHERE text IS NOT NULL)"
 #: Repeats of what has no fixed length, over contents on which a matcher that recurses would need a deep stack.
 bundle("regex_long", {
     "tail": ("strings: $a = /(an|on|th|ing)+x/ condition: $a", "regexp_matches(t, '(an|on|th|ing)+x')"),
