@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from bytesift.llm import ann, encoders, html, langid, linededup, mixing, packing, sharding, tokencount, topk
+from bytesift.llm import ann, encoders, html, langid, linededup, mixing, packing, sharding, tokencount, topk, vectors
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LONG = "long words and more " * 20_000
@@ -271,6 +271,27 @@ def test_additive_quantisation_recall_and_scores(spark):
     assert hit / (150 * 20) >= 0.9
 
 
+def test_neighbours_in_tight_clusters_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ann, "sample", lambda heads: vectors.sample(heads, 1500))  # half the rows lie outside the sample
+    rng = np.random.default_rng(12)
+    centre = ann.directions(rng.normal(size=(4, 64)))[0]
+    x = ann.directions(centre[rng.integers(0, 4, 3000)] + 0.003 * rng.normal(size=(3000, 64)))[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    out = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0, k=20).collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    hit = sum(r.vec_id in set(np.argsort(-s[r.query_id])[:20].tolist()) for r in out)
+    assert hit / (60 * 20) >= 0.9
+
+
+def test_codebooks_serve_rows_outside_the_sample():
+    x = ann.directions(np.random.default_rng(13).normal(size=(3000, 96)))[0]
+    books = ann.fit_codebooks(x[:2500], 48, held=ann.HELD)
+    codes = ann.encode(x[2500:], books)
+    left = x[2500:] - sum(books[b][codes[:, b]] for b in range(48))
+    assert (left * left).sum(1).mean() < 0.2
+
+
 def test_copies_of_a_vector_keep_the_smallest_ids(spark):
     rng = np.random.default_rng(11)
     v = rng.normal(size=(500, 8)).round(3)
