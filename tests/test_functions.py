@@ -165,3 +165,14 @@ def test_short_reads_see_no_key_beyond_two_bytes(spark, tmp_path):
     for kind in ("int16", "uint16", "int32", "uint32", "int64", "uint64"):
         assert [r.p_partkey for r in found if r.rule in (kind, f"{kind}be")] == [137, 137]
     assert sorted(r.p_partkey for r in found if r.rule == "negative") == sorted(k for k in keys if k % 100 == 37)
+
+
+def test_expressions_of_a_scan_share_one_python_worker(spark):
+    from bytesift.operators import search
+
+    rules = "\n".join(f"rule r{i} {{ strings: $a = /(an|on|{w})+x/ condition: $a }}" for i, w in enumerate(("th", "er", "in", "at")))
+    out = search.scan(spark.createDataFrame([(1, bytearray(b"ananx")), (2, bytearray(b"thx")), (3, None)], "id long, content binary"), rules)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 2  # of the filter and of the names
+    assert sorted((r.rule, r.id) for r in out.collect()) == [("r0", 1), ("r0", 2), ("r1", 1), ("r2", 1), ("r3", 1)]
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 128
