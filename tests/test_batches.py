@@ -26,3 +26,8 @@ def files_of(spark, tmp_path, monkeypatch, query):
 def test_three_batches_grow_by_files(spark, tmp_path, monkeypatch):
     files, each, rows = files_of(spark, tmp_path, monkeypatch, "stream_ingest_counts")
     assert each > 1 and -(-files // each) == 3 and rows == 2001
+
+
+def test_forty_batches_grow_by_files(spark, tmp_path, monkeypatch):
+    files, each, rows = files_of(spark, tmp_path, monkeypatch, "stream_many_batches")
+    assert each > 1 and -(-files // each) <= 40 and rows == 400
